@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+from docspark.llm.decontaminate import OP10_SQL, op10_decontaminate
 from docspark.llm.urls import OP2_SQL, op2_url_filter
 
-QUERIES = {"op2_url_filter": op2_url_filter}
-SQL = {"op2_url_filter": OP2_SQL}
+QUERIES = {
+    "op2_url_filter": op2_url_filter,
+    "op10_decontaminate": op10_decontaminate,
+}
+SQL = {
+    "op2_url_filter": OP2_SQL,
+    "op10_decontaminate": OP10_SQL,
+}
