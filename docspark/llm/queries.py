@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from docspark.llm.bpe_count import op7_token_counts
 from docspark.llm.decontaminate import OP10_SQL, op10_decontaminate
+from docspark.llm.records import op8_token_records
 from docspark.llm.urls import OP2_SQL, op2_url_filter
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op7_token_counts": op7_token_counts,
+    "op8_token_records": op8_token_records,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL = {
