@@ -5,6 +5,7 @@ from __future__ import annotations
 from docspark.llm.bpe_count import op7_token_counts
 from docspark.llm.decontaminate import OP10_SQL, op10_decontaminate
 from docspark.llm.html_text import op1_html_text
+from docspark.llm.langid import op4_language_id
 from docspark.llm.records import op8_token_records
 from docspark.llm.simhash import op3_simhash
 from docspark.llm.urls import OP2_SQL, op2_url_filter
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_url_filter": op2_url_filter,
     "op3_simhash": op3_simhash,
+    "op4_language_id": op4_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_token_records": op8_token_records,
     "op10_decontaminate": op10_decontaminate,
