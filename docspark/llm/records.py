@@ -17,6 +17,7 @@ executors leave at most files that nobody reads.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -103,6 +104,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def fresh() -> Encoder:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(sent.value)

@@ -16,7 +16,9 @@ import pyarrow as pa
 from docspark.llm.words import WHITE, Hasher, utf8
 
 #: Distinct pieces a worker remembers.
-STORE_PIECES = 1_500_000
+STORE_PIECES = 700_000
+#: New pieces given to a library at once; its objects for them live meanwhile.
+ENCODED_TOGETHER = 5_000
 HASHER = Hasher(8)
 
 
@@ -103,8 +105,10 @@ class Encoder:
         at, size = self.store.find(keys)
         new = np.flatnonzero(at < 0)
         if len(new):
-            said = [data[a:b].tobytes().decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)]
-            self.store.add(keys[new], self.encode(said))
+            for k in range(0, len(new), ENCODED_TOGETHER):
+                some = new[k : k + ENCODED_TOGETHER]
+                said = [data[a:b].tobytes().decode() for a, b in zip(starts[one[some]].tolist(), ends[one[some]].tolist(), strict=True)]
+                self.store.add(keys[some], self.encode(said))
             at, size = self.store.find(keys)
         at, size = at[back], size[back]
         upto = np.concatenate([[0], np.cumsum(size)])
