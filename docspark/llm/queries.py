@@ -8,6 +8,7 @@ from docspark.llm.html_text import op1_html_text
 from docspark.llm.langid import op4_language_id
 from docspark.llm.records import op8_token_records
 from docspark.llm.simhash import op3_simhash
+from docspark.llm.substrings import OP5_SQL, op5_substring_dedup
 from docspark.llm.urls import OP2_SQL, op2_url_filter
 
 QUERIES = {
@@ -15,11 +16,13 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_token_records": op8_token_records,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL = {
     "op2_url_filter": OP2_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op10_decontaminate": OP10_SQL,
 }
