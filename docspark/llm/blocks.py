@@ -23,6 +23,8 @@ from docspark.llm.frames import stored
 from docspark.llm.words import slices
 
 BLOCK_BYTES = 2_000_000
+#: A document's number is its block's number and its row in 16 bits.
+BLOCK_ROWS = 1 << 16
 KEYS = "part int, block bigint, keys binary, many binary, docs binary"
 ANSWER = "part int, block bigint, found binary, docs binary"
 
@@ -34,7 +36,7 @@ def pack(docs: DataFrame, text: str, size: int = BLOCK_BYTES) -> DataFrame:
     the same numbers.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 24
         waiting: list[pa.RecordBatch] = []
         held = 0
 
@@ -50,7 +52,7 @@ def pack(docs: DataFrame, text: str, size: int = BLOCK_BYTES) -> DataFrame:
         for batch in batches:
             for part in slices(batch, text, size):
                 more = pa.compute.sum(pa.compute.binary_length(part.column(part.schema.get_field_index(text)))).as_py() or 0
-                if waiting and held + more > size:
+                if waiting and (held + more > size or sum(x.num_rows for x in waiting) + part.num_rows > BLOCK_ROWS):
                     yield block()
                     waiting, held = [], 0
                 waiting.append(part)
