@@ -7,6 +7,7 @@ from docspark.llm.decontaminate import OP10_SQL, op10_decontaminate
 from docspark.llm.html_text import op1_html_text
 from docspark.llm.langid import op4_language_id
 from docspark.llm.minhash import op9_near_dedup
+from docspark.llm.pieces import op6_sentencepiece
 from docspark.llm.records import op8_token_records
 from docspark.llm.simhash import op3_simhash
 from docspark.llm.substrings import OP5_SQL, op5_substring_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_token_counts": op7_token_counts,
     "op8_token_records": op8_token_records,
     "op9_near_dedup": op9_near_dedup,
