@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from docspark.llm.frames import stored
 from docspark.llm.words import slices
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: A document's number is its block's number and its row in 16 bits.
 BLOCK_ROWS = 1 << 16
 KEYS = "part int, block bigint, keys binary, many binary, docs binary"

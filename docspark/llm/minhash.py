@@ -217,15 +217,24 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
     def bands(row: dict) -> Iterator[pa.RecordBatch]:
         ref, shingles, weights, first = vectors(row, "chosen")
         full = np.flatnonzero(np.diff(first))
+        total = np.add.reduceat(weights, first[full]) if len(full) else np.zeros(0)
         keys = band_keys(signatures(shingles, weights, np.append(first[full], first[-1]))) if len(full) else np.zeros((0, BANDS), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ref[full], BANDS), pa.int64()), pa.array(keys.ravel(), pa.int64())], names=["ref", "band"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ref[full], BANDS), pa.int64()), pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(total, BANDS))], names=["ref", "band", "weight"])
 
-    placed = stored(each_block(known.join(lists, "block"), bands, "ref bigint, band bigint"), "bands")
+    placed = stored(each_block(known.join(lists, "block"), bands, "ref bigint, band bigint, weight double"), "bands")
     sizes = placed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     met = stored(placed.join(sizes, "band"), "met")
     rank = met.groupBy("ref").agg(F.sum("members").alias("shared"))
     ranked = met.join(rank, "ref")
-    leaders = ranked.groupBy("band").agg(F.min(F.struct((-F.col("shared")).alias("s"), F.col("ref").alias("leader")))["leader"].alias("leader"))
+
+    def leading(members: DataFrame) -> DataFrame:
+        """Of each band the member that shares most band keys with others."""
+        most = F.min(F.struct((-F.col("shared")).alias("s"), F.col("ref").alias("leader"), F.col("weight").alias("leader_weight")))
+        return members.groupBy("band").agg(most.alias("m")).select("band", "m.leader", "m.leader_weight")
+
+    def possible(a: str, b: str):
+        """Sets whose total weights differ by more than the similarity allows can't be similar."""
+        return F.least(a, b) >= similarity * F.greatest(a, b) * (1 - 1e-6)
 
     wanted = rank.select((F.shiftright("ref", 16)).alias("block"), F.expr("cast(ref & 65535 AS int)").alias("row"))
     wanted = wanted.groupBy("block").agg(F.sort_array(F.collect_list("row")).alias("wanted"))
@@ -249,21 +258,23 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
         both = pairs.join(vector.select(F.col("ref").alias("a"), F.col("set").alias("set_a")), "a").join(vector.select(F.col("ref").alias("b"), F.col("set").alias("set_b")), "b")
         return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a bigint, b bigint"), name)
 
-    first = stored(met.select("band", "ref").join(leaders, "band").filter("ref <> leader"), "first")
-    near_first = verified(first.select(F.col("ref").alias("a"), F.col("leader").alias("b")).distinct(), "near")
+    first = stored(met.join(leading(ranked), "band").filter("ref <> leader").select("band", "ref", "weight", "leader", "leader_weight"), "first")
+    pairs = first.filter(possible("weight", "leader_weight")).select(F.col("ref").alias("a"), F.col("leader").alias("b")).distinct()
+    near_first = verified(pairs, "near")
     left = first.join(near_first, (first["ref"] == near_first["a"]) & (first["leader"] == near_first["b"]), "left_anti")
-    left = stored(left.select("band", "ref"), "left")
-    second = left.join(rank, "ref").groupBy("band").agg(F.min(F.struct((-F.col("shared")).alias("s"), F.col("ref").alias("leader")))["leader"].alias("leader"))
-    again = left.join(second, "band").filter("ref <> leader").select(F.col("ref").alias("a"), F.col("leader").alias("b")).distinct()
+    left = stored(left.select("band", "ref", "weight"), "left")
+    again = left.join(leading(left.join(rank, "ref")), "band").filter("ref <> leader").filter(possible("weight", "leader_weight"))
+    again = again.select(F.col("ref").alias("a"), F.col("leader").alias("b")).distinct()
     near = near_first.unionByName(verified(again, "near"))
     label = stored(components(near), "label")
 
     # Pairs that share a band and are still apart: each band's members by component.
-    apart = met.select("band", "ref").join(label.withColumnRenamed("node", "ref"), "ref", "left").select("band", "ref", F.coalesce("label", "ref").alias("label"))
+    apart = met.select("band", "ref", "weight").join(label.withColumnRenamed("node", "ref"), "ref", "left").select("band", "ref", "weight", F.coalesce("label", "ref").alias("label"))
     mixed = apart.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
     apart = stored(apart.join(mixed, "band"), "apart")
-    x, y = apart.select("band", F.col("ref").alias("a"), F.col("label").alias("la")), apart.select("band", F.col("ref").alias("b"), F.col("label").alias("lb"))
-    others = x.join(y, "band").filter("la < lb").select("a", "b").distinct()
+    x = apart.select("band", F.col("ref").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"))
+    y = apart.select("band", F.col("ref").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"))
+    others = x.join(y, (x["band"] == y["band"]) & (F.col("la") < F.col("lb")) & possible("wa", "wb")).select("a", "b").distinct()
     tried = first.select(F.col("ref").alias("a"), F.col("leader").alias("b")).unionByName(again)
     tried = tried.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
     others = others.join(tried, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
