@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from docspark.llm.frames import add_columns, stored
 from docspark.llm.tokens import Encoder, encoder
-from docspark.llm.words import utf8
+from docspark.llm.words import slices, utf8
 
 #: Texts of more characters are cut into chunks.
 GIANT = 50_000
@@ -231,21 +231,28 @@ def encode(docs: DataFrame, model: str, text: str = "text", giant: int = GIANT,
         giant = min(giant, chunk)
     docs = docs.drop("ids")
     size = F.coalesce(F.length(text), F.lit(0))
+    best = _best(mark, sent)
 
     def make(part: pa.RecordBatch) -> list[pa.Array]:
-        v = vocabulary(mark, sent.value)
-        texts = _before(part.column(part.schema.get_field_index(text)))
-        if v.splits:
-            fresh = lambda: Encoder(lambda said: [v.encode(x.replace(" ", MARK)) for x in said], np.uint32, space_cuts)
-            values, first = encoder(("pieces", mark), fresh)(texts)
-        else:
-            runs = [v.encode(x.replace(" ", MARK)) for x in texts.to_pylist()]
-            values, first = np.array([i for r in runs for i in r], np.uint32), np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+        values, first = best(part.column(part.schema.get_field_index(text)))
         return [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.astype(np.int32)))]
 
     short = add_columns(docs.filter(size <= giant), text, "ids array<int>", make)
-    long = docs.filter(size > giant)
-    return short.unionByName(_giants(long, mark, sent, known.longest, text, chunk))
+    return short.unionByName(_giants(docs.filter(size > giant), mark, sent, known.longest, text, chunk))
+
+
+def _best(mark: int, sent):
+    """A function from an Arrow array of texts to (values, first): the best pieces of text k are values[first[k]:first[k+1]]."""
+
+    def best(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        v, texts = vocabulary(mark, sent.value), _before(texts)
+        if v.splits:
+            fresh = lambda: Encoder(lambda said: [v.encode(x.replace(" ", MARK)) for x in said], np.uint32, space_cuts)
+            return encoder(("pieces", mark), fresh)(texts)
+        runs = [v.encode(x.replace(" ", MARK)) for x in texts.to_pylist()]
+        return np.array([i for r in runs for i in r], np.uint32), np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+
+    return best
 
 
 def _giants(docs: DataFrame, mark: int, sent, longest: int, text: str, chunk: int) -> DataFrame:
@@ -334,22 +341,46 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", name: str = "decode
     return encoded.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_ids, ids_sha256, decoded_sha256, round_trip) of documents with doc_id and text."""
-    both = decode(encode(docs.select("doc_id", "text"), model), model)
-    names = both.columns
+def digests(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, n_ids, ids_sha256, decoded_sha256, round_trip) of documents with doc_id and text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The ids are digested and decoded where they are made, so that they need not
+    be moved; ids_sha256 is that of the ids as little-endian 32-bit numbers.
+    """
+    with open(model, "rb") as f:
+        proto = f.read()
+    mark, sent = zlib.crc32(proto), docs.sparkSession.sparkContext.broadcast(proto)
+    known = Vocabulary(proto)
+    giant = giant if known.splits else min(giant, chunk)
+    best = _best(mark, sent)
+    schema = "doc_id bigint, n_ids bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+
+    def digest(doc_id: pa.Array, texts: list, values: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        v, hashed, decoded, same = vocabulary(mark, sent.value), [], [], []
+        for text, a, b in zip(texts, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            ids = values[a:b]
+            said = v.decode(ids.tolist())
+            hashed.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            decoded.append(hashlib.sha256(said.encode()).hexdigest())
+            same.append(said == (text or ""))
+        columns = [doc_id, pa.array(np.diff(first), pa.int64()), pa.array(hashed, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip"])
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield digest(part.column(0), part.column(1).to_pylist(), *best(part.column(1)))
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {n: batch.column(k) for k, n in enumerate(names)}
-            values, offsets = at["ids"].values.to_numpy().astype("<u4"), at["ids"].offsets.to_numpy()
-            hashed = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            said = at["decoded"].to_pylist()
-            same = pa.compute.equal(at["text"].fill_null(""), at["decoded"])
-            columns = [at["doc_id"], pa.array(np.diff(offsets), pa.int64()), pa.array(hashed), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said]), same]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip"])
-
-    return both.mapInArrow(run, "doc_id bigint, n_ids bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+            for part in slices(batch, "text"):
+                ids = part.column(2)
+                yield digest(part.column(0), part.column(1).to_pylist(), ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))]))
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = F.coalesce(F.length("text"), F.lit(0))
+    giants = _giants(rows.filter(size > giant), mark, sent, known.longest, "text", chunk)
+    return rows.filter(size <= giant).mapInArrow(short, schema).unionByName(giants.mapInArrow(long, schema))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
