@@ -60,22 +60,14 @@ class Vocabulary:
         #: Fixed value: an unknown character scores 10 below the least piece.
         self.unknown_score = min(self.score.values()) - 10
         self.longest = max(map(len, self.id))
+        #: Scores of the pieces, and None for what only begins one.
+        self.begins = {p[:k]: None for p in self.score for k in range(1, len(p))} | self.score
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
         probe = "  Ab éＡ\t\n c "
         if library.normalize(probe) != MARK + probe.replace(" ", MARK):
             raise ValueError("only models that leave texts as they are, but for a space before them, can be encoded")
         self.bytes = [bytes([int(p[1:-1], 16)]) if library.is_byte(i) else b"" if library.is_control(i) else p.encode() for i, p in enumerate(self.pieces)]
 
-    def edges(self, text: str, i: int) -> Iterator[tuple[int, float]]:
-        """(end, score) of the pieces that begin at i, the shortest first; an unknown character if there is no single one."""
-        score = self.score
-        if text[i] not in score:
-            yield i + 1, self.unknown_score
-        for j in range(i + 1, min(i + self.longest, len(text)) + 1):
-            s = score.get(text[i:j])
-            if s is not None:
-                yield j, s
-
     def forward(self, text: str, size: int, entry: list[float]) -> tuple[list[float], list[int]]:
         """Best scores and the piece before each position; entry[s] is the score of beginning at s.
 
@@ -85,11 +77,19 @@ class Vocabulary:
         best = [NONE] * (max(len(text), len(entry)) + 1)
         back = [-1] * len(best)
         best[: len(entry)] = entry
+        begins, n = self.begins, len(text)
         for i in range(size):
             here = best[i]
             if here == NONE:
                 continue
-            for j, s in self.edges(text, i):
+            if begins.get(text[i]) is None and here + self.unknown_score > best[i + 1]:  # a character that is no piece
+                best[i + 1], back[i + 1] = here + self.unknown_score, i
+            for j in range(i + 1, n + 1):
+                s = begins.get(text[i:j], 0)
+                if s is None:
+                    continue
+                if s == 0 and text[i:j] not in begins:
+                    break
                 if here + s > best[j]:
                     best[j], back[j] = here + s, i
         return best, back
