@@ -177,7 +177,8 @@ def normalise_role(c: Column) -> Column:
 def guess_language(c: Column | str, limit: int = 1000, default: str = "en") -> Column:
     """The language whose frequent words make up most of the first characters; a tie or none gives the default."""
     found = F.split(F.lower(F.substring(_text(c), 1, limit)), r"[^\p{L}]+")
-    hits = {k: F.size(F.filter(found, lambda w, k=k: w.isin(STOP_WORDS[k].split()))) for k in STOP_WORDS}
+    among = lambda known: F.size(F.filter(found, lambda w: w.isin(known.split())))
+    hits = {k: among(known) for k, known in STOP_WORDS.items()}
     best = F.greatest(*hits.values())
     said = F.lit(default)
     for k in sorted(hits, reverse=True):
