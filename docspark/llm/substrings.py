@@ -31,7 +31,7 @@ from docspark.llm.frames import stored
 from docspark.llm.words import Hasher, Words, inside, utf8, white_words
 
 WORDS = 35
-#: Seeds of a window; their least hash is found by four doublings.
+#: Seeds of a window at most.
 SEEDS = 16
 FIRST, SECOND = Hasher(51), Hasher(52)
 
@@ -54,11 +54,11 @@ class Windows:
         hashes = FIRST.ranges(w.data, w.starts, w.ends)
         at = inside(w.first, n)
         least = runs = FIRST.grams(hashes, max(1, n - SEEDS + 1))
-        width = 1
-        while width < min(SEEDS, n):
-            width *= 2
-            step = width // 2
+        seeds, width = min(SEEDS, n), 1
+        while width < seeds:  # the least of `width` runs; the last step may overlap
+            step = min(width, seeds - width)
             least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
+            width += step
         return cls(w, at, least[at], hashes, runs, n)
 
     def seed_keys(self) -> tuple[np.ndarray, np.ndarray]:
