@@ -31,6 +31,8 @@ RIDGE = 1e-3
 LONGEST = 4
 SLOT_BITS = 18
 UNKNOWN = "und"
+#: Texts whose presence matrix is made together.
+TOGETHER = 256
 
 #: ASCII letters and bytes beyond ASCII stay, all else is a space.
 FOLD = np.full(256, 0x20, np.uint8)
@@ -90,9 +92,12 @@ class Model:
 
     def scores(self, texts: list) -> np.ndarray:
         """One row for each text, one column for each language."""
-        rows = self.presence(texts)
-        kernel = (rows @ self.landmarks.T) / np.sqrt(np.maximum(rows.sum(1), 1))[:, None]
-        return kernel @ self.coefficients
+        found = [np.zeros((0, len(self.languages)), np.float32)]
+        for k in range(0, len(texts), TOGETHER):  # a presence matrix has a number for each text and n-gram
+            rows = self.presence(texts[k : k + TOGETHER])
+            kernel = (rows @ self.landmarks.T) / np.sqrt(np.maximum(rows.sum(1), 1))[:, None]
+            found.append(kernel @ self.coefficients)
+        return np.concatenate(found)
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
