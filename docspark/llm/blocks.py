@@ -60,7 +60,7 @@ def pack(docs: DataFrame, text: str, size: int = BLOCK_BYTES) -> DataFrame:
         if waiting:
             yield block()
 
-    return stored(docs.mapInArrow(run, "block bigint, rows binary"), "blocks")
+    return stored(docs.mapInArrow(run, "block bigint, rows binary"), "blocks", batch=1000)
 
 
 def unpack(rows: bytes) -> pa.RecordBatch:

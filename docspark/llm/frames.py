@@ -28,11 +28,25 @@ def local_uri(uri: str) -> str:
     return "file:///" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read again: it cuts lineage and survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows that Spark hands to Python at once.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """The frame written to the shared folder and read again: it cuts lineage and survives lost executors.
+
+    `batch` bounds the rows that Python gets at once while it is written, for
+    frames whose rows are large.
+    """
+    spark = df.sparkSession
+    path, before = shared_folder(spark, name), spark.conf.get(BATCH_ROWS)
+    try:
+        if batch:
+            spark.conf.set(BATCH_ROWS, batch)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def add_columns(df: DataFrame, text: str, fields: str, make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:

@@ -195,13 +195,13 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
         ref = (row["block"] << 16) + np.arange(batch.num_rows)
         yield pa.RecordBatch.from_arrays([pa.array(ref, pa.int64()), batch.column(key_column).cast(pa.int64()), pa.array(_digests(batch.column(column)), pa.binary())], names=["ref", "doc_id", "digest"])
 
-    texts = stored(each_block(blocks, copies, "ref bigint, doc_id bigint, digest binary"), "texts")
+    texts = stored(each_block(blocks, copies, "ref bigint, doc_id bigint, digest binary"), "texts", batch=8)
     documents = texts.count()
     # One document of each text stands for its copies.
     one = stored(texts.groupBy("digest").agg(F.min("ref").alias("ref"), F.min("doc_id").alias("least")), "one")
     chosen = one.select((F.shiftright("ref", 16)).alias("block"), F.expr("cast(ref & 65535 AS int)").alias("row"))
     lists = chosen.groupBy("block").agg(F.sort_array(F.collect_list("row")).alias("chosen"))
-    asked = stored(_frequencies(blocks, column, parts), "frequencies")
+    asked = stored(_frequencies(blocks, column, parts), "frequencies", batch=500)
     known = blocks.join(asked, "block", "left")
 
     def vectors(row: dict, name: str):
@@ -221,7 +221,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
         keys = band_keys(signatures(shingles, weights, np.append(first[full], first[-1]))) if len(full) else np.zeros((0, BANDS), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ref[full], BANDS), pa.int64()), pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(total, BANDS))], names=["ref", "band", "weight"])
 
-    placed = stored(each_block(known.join(lists, "block"), bands, "ref bigint, band bigint, weight double"), "bands")
+    placed = stored(each_block(known.join(lists, "block"), bands, "ref bigint, band bigint, weight double"), "bands", batch=8)
     sizes = placed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     met = stored(placed.join(sizes, "band"), "met")
     rank = met.groupBy("ref").agg(F.sum("members").alias("shared"))
@@ -244,7 +244,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
         said = [shingles[a:b].astype("<u8").tobytes() + weights[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(ref, pa.int64()), pa.array(said, pa.binary())], names=["ref", "set"])
 
-    vector = stored(each_block(known.join(wanted, "block"), sets, "ref bigint, set binary"), "sets")
+    vector = stored(each_block(known.join(wanted, "block"), sets, "ref bigint, set binary"), "sets", batch=8)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, b) that are similar."""
@@ -256,7 +256,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
         both = pairs.join(vector.select(F.col("ref").alias("a"), F.col("set").alias("set_a")), "a").join(vector.select(F.col("ref").alias("b"), F.col("set").alias("set_b")), "b")
-        return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a bigint, b bigint"), name)
+        return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a bigint, b bigint"), name, batch=500)
 
     first = stored(met.join(leading(ranked), "band").filter("ref <> leader").select("band", "ref", "weight", "leader", "leader_weight"), "first")
     pairs = first.filter(possible("weight", "leader_weight")).select(F.col("ref").alias("a"), F.col("leader").alias("b")).distinct()

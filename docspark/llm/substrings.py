@@ -159,7 +159,7 @@ def find_spans(docs: DataFrame, finish, schema, text: str = "text", n: int = WOR
         yield from finish(batch, w, np.cumsum(change[:-1]) > 0)
 
     asked = ask(each_block(blocks, seeds, KEYS), parts)
-    known = stored(asked, "seeds")  # small; both rounds read it
+    known = stored(asked, "seeds", batch=500)  # small; both rounds read it
     joined = blocks.join(known, "block", "left")
     found = ask(each_block(joined, places, KEYS), parts).withColumnRenamed("answers", "places")
     return each_block(joined.join(found, "block", "left"), covered, schema)
