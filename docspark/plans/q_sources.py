@@ -108,7 +108,7 @@ def stream_state(spark, sf):
 
     path = folder(spark, "state")
     e = B.task_events(spark, sf)
-    e.filter("status <> 'signup'").repartition(4).write.parquet(f"{path}/in")
+    e.filter("status <> 'signup'").repartition(2).write.parquet(f"{path}/in")
     stream = T.keyed_state(T.read_events(spark, f"{path}/in", e.schema, files=1))
     out = f"{path}/out"
 

@@ -34,7 +34,7 @@ def html_to_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>]*>", "")
     for name, said in ENTITIES.items():
         t = F.replace(t, F.lit(name), F.lit(said))
-    lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(lines, "\n\n")
 
 
