@@ -25,4 +25,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from docspark.plans import q_chat, q_rag, q_registry, q_sources, q_tasks, q_text, q_vector  # noqa: E402, F401
+from docspark.plans import q_chat, q_rag, q_registry, q_tasks, q_text, q_vector  # noqa: E402, F401, I001
+from docspark.plans import q_sources  # noqa: E402, F401

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docspark.functions import text as X
 from docspark.operators import registry as R
 from docspark.plans import tables as B
-from docspark.plans.catalog import query
+from docspark.plans.catalog import SQL, query
 from docspark.sources import files as S
 
 
@@ -101,7 +101,7 @@ def incremental(spark, sf):
     return spark.read.parquet(f"{path}/out")
 
 
-@query("str2_stream_state")
+@query("str2_stream_state", SQL["str2_task_state"])
 def stream_state(spark, sf):
     """The events table as a stream; the last state of each task, as str2_task_state gives it."""
     from docspark.streaming import tasks as T

@@ -30,8 +30,12 @@ def split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.filter(K.valid(events)), events.filter(~K.valid(events)).withColumn("reason", K.fault(events))
 
 
-def keyed_state(events: DataFrame, expire: str = "7 days") -> DataFrame:
-    """The state of each task after each batch that touches it; forgotten when no event came for `expire`.
+def keyed_state(events: DataFrame, expire_days: int | None = None) -> DataFrame:
+    """The state of each task after each batch that touches it; with `expire_days`, forgotten when no event came for so long.
+
+    A stream whose state expires looks for timeouts after every batch, so it must
+    run by processing time; a stream that runs to its end (availableNow) would
+    not end.
 
     Events of a task may come in any order: the status is that of the greatest
     (ts, event_id) so far, times are minima and maxima.
@@ -57,13 +61,12 @@ def keyed_state(events: DataFrame, expire: str = "7 days") -> DataFrame:
                 if last_ts is None or at >= (last_ts, last_id):
                     status, last_ts, last_id = r.status, r.ts, r.event_id
         state.update((status, started, ended, result, last_ts, int(last_id), int(failures), int(n)))
-        state.setTimeoutDuration(EXPIRE_MS)
+        if expire_days:
+            state.setTimeoutDuration(expire_days * 86_400_000)
         done = ended if status in ("completed", "failed") else None
         yield pd.DataFrame([(key[0], status, started, done, result, failures, n)], columns=["task_id", "status", "started_at", "completed_at", "result", "failures", "events"])
 
-    days = int(expire.split()[0])
-    EXPIRE_MS = days * 86_400_000
-    return events.groupBy("task_id").applyInPandasWithState(update, OUTPUT, STATE, "update", "ProcessingTimeTimeout")
+    return events.groupBy("task_id").applyInPandasWithState(update, OUTPUT, STATE, "update", "ProcessingTimeTimeout" if expire_days else "NoTimeout")
 
 
 def per_bucket(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
