@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from docspark.llm import decontaminate, langid, minhash, pieces, substrings
 from docspark.llm.frames import stored
 
-#: A text whose best language scores less resembles none of them (a clean text of one word has about 0.4).
-LEAST_SCORE = 0.25
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops null texts, texts without a letter and texts that resemble no language learned from the labelled rows.
@@ -28,10 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}")).select(*columns)
     # Names of the prediction that the table happens to have are set aside meanwhile.
-    aside = {c: f"_{c}" for c in ("lang_pred", "score") if c in columns}
+    made = ("lang_pred", "score", "resembles")
+    aside = {c: f"_{c}" for c in made if c in columns}
     judged = langid.predict(docs.withColumnsRenamed(aside), model)
-    judged = judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return judged.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in aside.items()}).select(*columns)
+    judged = judged.filter("resembles")
+    return judged.drop(*made).withColumnsRenamed({v: k for k, v in aside.items()}).select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 from docspark.llm import bpe_count, components, decontaminate, html_text, langid, minhash, pieces, records, simhash, substrings, urls
 from docspark.llm.blocks import flags
@@ -124,6 +125,22 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(odd(spark), None).collect()} == {"und"}
 
 
+def test_language_stage(spark):
+    rng = random.Random(3)
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(n))
+    go = ["Это обычный русский текст, который ни на что не похож.", "这是一个中文文本，与任何已学习的语言都不相似。", "هذا نص عربي لا يشبه أي لغة", "Αυτό είναι ένα ελληνικό κείμενο.", letters(1), letters(8), letters(400), "%x" % rng.getrandbits(400)]
+    stay = ["That it.", "Von.", "The", "Of the that.", "De la queen.", "THE!! AND!! OF!! THAT!!", "Que de los."]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(go + stay)], docs.schema)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.language_id(spark, docs.union(more), SF).collect()}
+    assert sorted(t for i, t in kept.items() if i < 0) == sorted(stay)
+    assert len(kept) == docs.filter(F.col("text").rlike(r"\p{L}")).count() + len(stay)
+    # one labelled text of a language says little of others: its bar is low, that of the other languages is not
+    lone = spark.createDataFrame([(-100, "Zwykły tekst po polsku.", "pl")], docs.schema)
+    bars = langid.train(docs.union(lone))
+    assert dict(zip(bars.languages, bars.bars, strict=True))["pl"] < 0.2 < 0.44 < min(b for x, b in zip(bars.languages, bars.bars, strict=True) if x != "pl")
+
+
 # 5
 
 
