@@ -153,20 +153,24 @@ def held_out(doc_id: Column) -> Column:
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """A model of the languages in `labelled`; None if no row has a label and a text.
 
-    At most TRAIN_PER_LANGUAGE rows of each language are taken, those with the
-    least hashes of their ids.  Their n-grams are taken out by tasks; the driver
-    solves for the coefficients, whose size does not depend on the table's.
+    At most TRAIN_PER_LANGUAGE texts of each language are taken, those with the
+    least hashes of their ids and, where ids are null or repeated, of their texts;
+    rows with the same id and text count once.  Their n-grams are taken out by tasks;
+    the driver solves for the coefficients, whose size does not depend on the table's.
     """
     key = F.col(doc_id).cast("string")
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    first = Window.partitionBy("lang").orderBy("order", "key")
-    ids = rows.select(F.col(lang).alias("lang"), key.alias("key"), F.xxhash64(key).alias("order"))
+    rows = rows.select(F.col(lang).alias("lang"), key.alias("key"), F.xxhash64(F.col(text)).alias("said"), F.col(text).alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "said")
+    ids = rows.select("lang", "key", "said").distinct()
     ids = ids.withColumn("row", F.row_number().over(first)).filter(F.col("row") <= TRAIN_PER_LANGUAGE)
-    picked = [(r["lang"], r["key"], r["row"]) for r in ids.collect()]
+    picked = [(r["lang"], r["key"], r["said"], r["row"]) for r in ids.collect()]
     if not picked:
         return None
-    chosen = labelled.sparkSession.createDataFrame(picked, "label string, picked string, row int")
-    texts = rows.withColumn("key", key).join(F.broadcast(chosen), F.col("key").eqNullSafe(F.col("picked")) & (F.col(lang) == F.col("label")))
+    chosen = labelled.sparkSession.createDataFrame(picked, "label string, picked string, hash long, row int")
+    same = F.col("key").eqNullSafe(F.col("picked")) & (F.col("lang") == F.col("label")) & (F.col("said") == F.col("hash"))
+    # one text for each picked row, however often it is in the table
+    texts = rows.join(F.broadcast(chosen), same).groupBy("label", "row").agg(F.min("text").alias("text"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +183,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
                 found = pa.array([np.concatenate(x).astype("<u4").tobytes() for x in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], names=["label", "row", "grams"])
 
-    taken = texts.select("label", "row", F.col(text).alias("text")).mapInArrow(take, "label string, row int, grams binary")
+    taken = texts.mapInArrow(take, "label string, row int, grams binary")
     sample = sorted({(r["label"], r["row"]): bytes(r["grams"]) for r in taken.collect()}.items())
     languages = sorted({x for (x, _), _ in sample})
     label = np.array([languages.index(x) for (x, _), _ in sample])

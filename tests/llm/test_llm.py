@@ -125,6 +125,29 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(odd(spark), None).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    cut = spark.sparkContext.accumulator(0)
+    ngrams = langid.ngrams
+
+    def counted(texts):
+        cut.add(len(texts))
+        return ngrams(texts)
+
+    monkeypatch.setattr(langid, "TRAIN_PER_LANGUAGE", 20)
+    words = {"en": said(120, 1), "de": [t.replace("w", "ß") for t in said(120, 2)]}
+    # null ids, one id for many rows, and one row many times
+    rows = [((None, 7, i)[i % 3], t, lang) for lang, texts in words.items() for i, t in enumerate(texts)] + [(None, "w1 w2 w3", "en")] * 60
+    models = []
+    for order in (1, -1):
+        docs = spark.createDataFrame(rows[::order], "doc_id long, text string, lang string").repartition(3)
+        with monkeypatch.context() as m:
+            m.setattr(langid, "ngrams", counted)
+            before = cut.value
+            models.append(langid.train(docs))
+        assert 0 < cut.value - before <= 2 * 20
+    assert all(np.array_equal(getattr(models[0], x), getattr(models[1], x)) for x in ("slots", "landmarks", "coefficients", "bars"))
+
+
 def test_language_stage(spark):
     rng = random.Random(3)
     letters = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(n))
