@@ -3,9 +3,10 @@
 A page becomes leaf texts, each with its root-to-leaf path of block tags.  Text
 length and punctuation are added up per path; the ratios (length per node,
 punctuation per node) are smoothed along the page, fused, and a threshold on
-the fused score selects content paths.  The smallest element that holds most of
-the selected text is the article; its blocks are the result, less the elements
-that by their tag, role or class are not article text.
+the fused score selects content paths.  Every block on a content path outside the
+elements that by their tag, role or class are not article text is kept, and with
+it the titles, list items and the like around: blocks below the common ancestor
+of all content, save for containers beside it that hold no content.
 """
 
 from __future__ import annotations
@@ -41,6 +42,14 @@ P_STOPS = {"button", "td", "th", "li", "div", "section", "article", "body"}
 #: Elements that are never article text, wherever they stand.
 OUT = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe noembed noframes object embed canvas svg audio video dialog menu xmp search".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Containers, which class or id can name as something other than the article.
+CONTAINERS = frozenset("div section ul ol dl table tbody tr td th header figure fieldset details center hgroup address".split())
+#: Classes of what is not shown, on any element.
+HIDDEN_NAMES = frozenset("hidden sr-only visually-hidden screen-reader-text print-only".split())
+#: Names that are also titles of an article's sections: they count only where no path below is a content path.
+SECTION_NAMES = frozenset("notice notices discussion reader reply replies respond promotion copyright legal consent".split())
+#: What may stand beside the words of OUT_NAMES in a name that is all of them.
+QUALIFIERS = frozenset("site page global top main bottom left right primary secondary inner outer header bar box list links section wrapper wrap container area block content item items group".split())
 #: Words of class and id that name something other than the article.
 OUT_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner
@@ -66,7 +75,8 @@ class Node:
     tag: str
     up: Node | None
     out: bool = False
-    named: bool = False
+    #: Out by a name that is also a section's title, unless there is content below.
+    doubtful: bool = False
     #: The same number for equal root-to-leaf paths.
     path: int = 0
     depth: int = 0
@@ -118,7 +128,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
         tag = name[1].lower()
         if said_now[1] != "/":
             if tag in INLINE and not node.out:
-                if not _is_out(tag, said_now[name.end() :]):
+                if not _is_out(tag, said_now[name.end() :])[0]:
                     continue  # inline elements are part of their block
             if tag == "br":
                 said.append(" ")
@@ -136,11 +146,12 @@ def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
                         opened[node.tag] -= 1
                         node = node.up
             attributes = said_now[name.end() :]
-            out = node.out or _is_out(tag, attributes)
+            out, doubtful = _is_out(tag, attributes)
+            out |= node.out
             if tag == "header" and not out:
                 out = not (opened["article"] or opened["main"])
             path = paths.setdefault((node.path, tag), len(paths) + 1)
-            node = Node(tag, node, out, tag in ("article", "main") or _is_article(attributes), path, node.depth + 1)
+            node = Node(tag, node, out, doubtful, path, node.depth + 1)
             nodes.append(node)
             opened[tag] += 1
             if tag in RAW:
@@ -172,33 +183,41 @@ def _attributes(said: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(said)}
 
 
-def _names(said: dict[str, str]) -> set[str]:
-    """The words of class and id: whole names, and their parts at hyphens, underscores and capitals."""
-    whole = f"{said.get('class', '')} {said.get('id', '')}".split()
-    return {w.lower() for w in whole} | {p.lower() for w in whole for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", w)}
+def _parts(name: str) -> set[str]:
+    """The words of a name: its parts at hyphens, underscores and capitals."""
+    return {p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)}
 
 
-def _is_out(tag: str, said: str) -> bool:
+def _says_out(name: str) -> tuple[bool, bool]:
+    """Whether a whole name says that its element is no article text; and whether it does so for sure."""
+    parts = _parts(name)
+    words = {name.lower()} & OUT_NAMES or parts & OUT_NAMES
+    if "header" in parts and parts & {"site", "page", "global", "top", "main"}:
+        words = words | {"siteheader"}
+    if not words or name.lower() not in OUT_NAMES and parts - OUT_NAMES - QUALIFIERS:
+        return False, False
+    return True, bool(words - SECTION_NAMES)
+
+
+def _is_out(tag: str, said: str) -> tuple[bool, bool]:
+    """Whether an element is no article text, and whether that is to be seen by the content below."""
     if tag in OUT:
-        return True
+        return True, False
     if tag in ("html", "body", "article", "main") or not said.strip(" />"):
-        return False
+        return False, False
     found = _attributes(said)
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in OUT_ROLES:
-        return True
+        return True, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
-    names = _names(found)
-    if "header" in names and tag != "header":
-        names = names | ({"siteheader"} if names & {"site", "page", "global", "top", "main"} else set())
-    return bool(names & OUT_NAMES) and not names & ARTICLE_NAMES
-
-
-def _is_article(said: str) -> bool:
-    if not said.strip(" />"):
-        return False
-    found = _attributes(said)
-    return found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or bool(_names(found) & ARTICLE_NAMES)
+        return True, False
+    whole = f"{found.get('class', '')} {found.get('id', '')}".split()
+    lower = {w.lower() for w in whole}
+    if lower & HIDDEN_NAMES:
+        return True, False
+    if tag not in CONTAINERS or lower & ARTICLE_NAMES:
+        return False, False
+    said_out = [_says_out(w) for w in whole]
+    return any(sure for _, sure in said_out), any(out and not sure for out, sure in said_out)
 
 
 def content_paths(blocks: list[Block], radius: int = 1, threshold: float = 0.5) -> np.ndarray:
@@ -236,13 +255,16 @@ def main_text(page: str | None) -> str:
     for node in reversed(nodes[1:]):
         node.up.weight += node.weight
     total = nodes[0].weight
-    # An element that is named as the article and holds half of the content, else the deepest one that holds most.
-    named = [n for n in nodes if n.named and 2 * n.weight >= total]
-    root = min(named, key=lambda n: n.depth) if named else max((n for n in nodes if 5 * n.weight >= 4 * total), key=lambda n: n.depth)
-    if not named and (root.tag in ("p", "li", "td", "dd", "dt", "pre") or re.fullmatch(r"h[1-6]", root.tag)):
+    root = max((n for n in nodes if n.weight == total), key=lambda n: n.depth)
+    if root.tag in ("p", "li", "td", "dd", "dt", "pre") or re.fullmatch(r"h[1-6]", root.tag):
         root = root.up  # a single paragraph is not all of its article
-    for node in nodes:
-        node.below = node is root or node.up is not None and node.up.below
+    whole = root.tag not in ("#", "html", "body")
+    for node in nodes:  # parents first
+        if node is root:
+            node.below = True
+        elif node.up is not None and node.up.below:
+            beside = node.up is root and not whole and node.tag in CONTAINERS
+            node.below = bool(node.weight) or not (node.doubtful or beside)
     return "\n\n".join(b.text for b in blocks if b.node.below)
 
 

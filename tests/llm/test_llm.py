@@ -54,6 +54,21 @@ def test_html():
     assert len(html_text.main_text("<div>" * 20_000 + "x, y." + "<p>a" * 5000)) > 5000
 
 
+def test_html_keeps_whole_articles():
+    para = lambda word, n: " ".join(f"{word} says this, and then that." for _ in range(n))
+    intro, body, end = para("intro", 2), para("body", 24), para("end", 1)
+    page = f"<body><h1>The title</h1><div class=intro><p>{intro}</p></div><div class=text><p>{body}</p></div><p>{end}</p><div><ul>{'<li><a href=/>Home</a></li>' * 9}</ul></div></body>"
+    assert html_text.main_text(page) == f"The title\n\n{intro}\n\n{body}\n\n{end}"
+    for tag in ("article", "div class=story"):
+        page = f"<body><{tag}><p>{para('one', 11)}</p></{tag[:7].split()[0]}><{tag}><p>{para('two', 9)}</p></{tag[:7].split()[0]}></body>"
+        assert html_text.main_text(page) == f"{para('one', 11)}\n\n{para('two', 9)}"
+    page = (
+        f"<article><h2 id=discussion>Discussion</h2><p class=notice>{intro}</p><section id=related-work><h2 class='search'>Related work</h2><p>{body}</p></section>"
+        f"<section id=discussion><p>{end} See <span class=tags>tags</span>.</p></section></article><div class=related><ul><li>More</li></ul></div><div class='comments-list'><p>{body}</p></div>"
+    )
+    assert html_text.main_text(page) == f"Discussion\n\n{intro}\n\nRelated work\n\n{body}\n\n{end} See tags."
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, "<p>a, b.", "u"), (2, "<p>a, b.", "u")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(1, "", 0), (2, "a, b.", 5), (2, "a, b.", 5)]
