@@ -108,27 +108,20 @@ def stream_state(spark, sf):
 
     path = folder(spark, "state")
     e = B.task_events(spark, sf)
-    e.filter("status <> 'signup'").repartition(2).write.parquet(f"{path}/in")
-    stream = T.keyed_state(T.read_events(spark, f"{path}/in", e.schema, files=1))
-    out = f"{path}/out"
-
-    def keep(batch, n):
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
-
-    q = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = spark.read.parquet(out).groupBy("task_id").agg(F.max_by(F.struct("status", "started_at", "completed_at", "result", "failures", "events"), "batch").alias("s"))
+    e.filter("status <> 'signup'").repartitionByRange("ts").write.parquet(f"{path}/in")
+    stream = T.keyed_state(T.read_events(spark, f"{path}/in", e.schema))
+    last = T.last_counts(stream, ["task_id"], f"{path}/out", f"{path}/checkpoint")
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return last.select("task_id", "s.*").select("task_id", "status", at("started_at"), at("completed_at"), "result", "failures", "events")
+    return last.select("task_id", "status", at("started_at"), at("completed_at"), "result", "failures", "events")
 
 
-@query("str11_stream_buckets")
+@query("str11_stream_buckets", SQL["str11_buckets"])
 def stream_buckets(spark, sf):
-    """Counts per hour and status by a stream with a watermark."""
+    """Counts per hour and status by a stream, for all events: a table's files come in any order and its last hours count too."""
     from docspark.streaming import tasks as T
 
     path = folder(spark, "buckets")
     e = B.task_events(spark, sf)
-    e.filter("status <> 'signup'").repartition(1).write.parquet(f"{path}/in")
-    T.run_to_end(T.per_bucket(T.read_events(spark, f"{path}/in", e.schema)), f"{path}/out", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/out").select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "status", "n")
+    e.filter("status <> 'signup'").repartitionByRange("ts").write.parquet(f"{path}/in")
+    counts = T.per_bucket(T.read_events(spark, f"{path}/in", e.schema), late=None)
+    return T.last_counts(counts, ["bucket", "status"], f"{path}/out", f"{path}/checkpoint").select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "status", "n")

@@ -69,9 +69,13 @@ def keyed_state(events: DataFrame, expire_days: int | None = None) -> DataFrame:
     return events.groupBy("task_id").applyInPandasWithState(update, OUTPUT, STATE, "update", "ProcessingTimeTimeout" if expire_days else "NoTimeout")
 
 
-def per_bucket(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(bucket, status, n): counts per status and time bucket; events later than `late` are dropped."""
-    counted = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "status").agg(F.count("*").alias("n"))
+def per_bucket(events: DataFrame, width: str = "1 hour", late: str | None = "2 hours") -> DataFrame:
+    """(bucket, status, n): counts per status and time bucket; events later than `late` are dropped.
+
+    With late=None none is dropped, in whatever order they come; counts are then
+    kept for all buckets, and the output mode has to be update or complete.
+    """
+    counted = (events.withWatermark("ts", late) if late else events).groupBy(F.window("ts", width).alias("w"), "status").agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("bucket"), "status", "n")
 
 
@@ -85,6 +89,21 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append")
     df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def last_counts(df: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """An aggregate run in update mode over all that is there now: the last row of each key.
+
+    Also what append mode holds back until a watermark passes is there.
+    """
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(path)
+
+    df.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    values = [c for c in df.columns if c not in keys]
+    last = df.sparkSession.read.parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*keys, "last.*")
+
+
 def next_stages(batch: DataFrame) -> dict[str, DataFrame]:
     """Follow-up rows of the batch's completed tasks: parsed texts are chunked, chunks embedded; empty results stop."""
     parsed = batch.filter("type = 'parse' and status = 'completed'").select("document_id", K.parse_result("parse", F.col("result")).alias("r"))

@@ -26,6 +26,16 @@ def test_state_equals_batch(spark, tmp_path):
     assert sorted(map(str, rows.collect())) == sorted(map(str, batch.collect()))
 
 
+def test_buckets_equal_batch(spark, tmp_path):
+    e = B.task_events(spark, SF)
+    for side in (F.col("ts") >= "2024-01-15", F.col("ts") < "2024-01-15", F.col("ts").isNull()):  # the later events come first
+        e.filter(side).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    counts = T.per_bucket(T.read_events(spark, f"{tmp_path}/in", e.schema, files=1), late=None)
+    got = T.last_counts(counts, ["bucket", "status"], f"{tmp_path}/out", f"{tmp_path}/c")
+    assert spark.read.parquet(f"{tmp_path}/out").select("batch").distinct().count() > 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, K.per_bucket(e).collect()))
+
+
 def test_fan_out(spark, tmp_path):
     rows = [
         ("d1", "parse", "completed", json.dumps({"content": "para one\n\npara two"})), ("d2", "parse", "completed", json.dumps({"content": ""})), ("d3", "parse", "failed", None),
