@@ -1,12 +1,8 @@
-"""Substring dedup by relative Lempel-Ziv factors.
-
-The reference is the whole corpus, in blocks; each block indexes its windows of
-n words.  A document is factored greedily: a factor begins at a word whose
-window the index knows from another place and goes on while the next window is
-known too, so it has n words or more.  At the end of a factor the windows that
-reach over the boundary are looked up like all others, so words that one factor
-does not cover because its source ends are covered by the next if it has a
-source of its own.  All factors become duplicate spans.
+"""Substring dedup by exact hashes of windows.
+
+The corpus is cut into blocks; each block asks an index which of its windows of
+n words occur twice, and the words that these cover become duplicate spans.
+This stands in for a relative Lempel-Ziv parse: no factors are made.
 
 Looking up every window would send one key per word.  So a first round asks
 only for seeds: of the runs of n - 15 words within a window the one with the
