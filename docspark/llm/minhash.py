@@ -7,23 +7,28 @@ share is small, so that in a group of thousands of copies, whose words are in so
 many documents, what the copies share still outweighs what they don't.
 
 Each of the samples takes for every shingle of weight S the parameters r and c
-(Gamma(2, 1)) and beta (uniform) that the shingle's hash selects in a table,
+(Gamma(2, 1)) and beta (uniform) that three parts of the shingle's hash select in
+three tables,
 t = floor(ln S / r + beta), and keeps the (shingle, t) of least
 ln c - r (t - beta) - r.  Two texts agree in a sample with a probability of their
 weighted Jaccard similarity.  Bands of samples are the keys under which documents
 meet; every link is verified by the weighted Jaccard similarity of the shingles.
 
-Within a band key no pairs are listed.  All members are verified against the
-member that shares most band keys with others (in a group of edits of one text,
-that text), those that don't match it against a second one, and after the
-components of these links are known, pairs that share a key and are still in
-different components are verified too.  So no link between components is lost.
+Within a band key no pairs are listed.  A band is led by the member that shares most
+band keys with others (in a group of edits of one text, that text), and all members
+of a leader's bands form one group.  A group is dealt by hash into cells of bounded
+size.  Inside a cell, members are compared with all others at once, the leader first,
+until those that have not been compared with all are known to be connected; pairs
+of cells follow for groups that are still not one component.  So no link between
+components is lost, a cell's memory is bounded, and only a spanning forest of links
+leaves it.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +45,21 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 IDF_SHARE = 0.25
 TABLE_BITS = 13
+#: Bytes of shingles and weights in a cell of a group.
+CELL_BYTES = 4_000_000
 #: Shingles whose samples are drawn together.
 TOGETHER = 8192
+#: Bytes of sets that leave a block together.
+SENT_BYTES = 4_000_000
+#: A set on its way to a pair of cells (i = j: within one), from the first of them (side 0) or the second.
+SET_SCHEMA = "leader bigint, i int, j int, side int, ref bigint, label bigint, set binary"
+SET_NAMES = [x.split()[0] for x in SET_SCHEMA.split(", ")]
+SET_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 HASHER = Hasher(9)
 
 
 def sample_table(samples: int, bits: int = TABLE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, beta and ln c for each slot of a shingle's hash and each sample."""
+    """r, beta and ln c for each slot of a shingle's hash and each sample; each has a slot of its own."""
     rng = np.random.Generator(np.random.PCG64(909))
     shape = (1 << bits, samples)
     r = rng.gamma(2, 1, shape).astype(np.float32)
@@ -65,14 +78,13 @@ def signatures(shingles: np.ndarray, weights: np.ndarray, first: np.ndarray, sam
     best = np.full((k, samples), np.inf, np.float32)
     out = np.zeros((k, samples), np.uint64)
     ln_s = np.log(weights).astype(np.float32)[:, None]
-    slot = (shingles >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    slots = [((shingles >> np.uint64(64 - (k + 1) * TABLE_BITS)) & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64) for k in range(3)]
     columns = np.arange(samples)
     for a in range(0, len(shingles), TOGETHER):
         b = min(a + TOGETHER, len(shingles))
-        rows = slot[a:b]
-        rr, bb = r[rows], beta[rows]
+        rr, bb = r[slots[0][a:b]], beta[slots[1][a:b]]
         t = np.floor(ln_s[a:b] / rr + bb)
-        score = ln_c[rows] - rr * (t - bb + 1)
+        score = ln_c[slots[2][a:b]] - rr * (t - bb + 1)
         d0, d1 = int(np.searchsorted(first, a, "right")) - 1, int(np.searchsorted(first, b, "left"))
         cut = np.maximum(first[d0:d1] - a, 0)
         least = np.minimum.reduceat(score, cut, axis=0)
@@ -132,6 +144,99 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
+@dataclass
+class Members:
+    """Weighted sets to be compared: shingles[first[k]:first[k+1]] and their weights are those of ref[k], of component label[k]."""
+
+    ref: np.ndarray
+    label: np.ndarray
+    shingles: np.ndarray
+    weights: np.ndarray
+    first: np.ndarray
+
+    def __post_init__(self):
+        sums = np.concatenate([[0.0], np.cumsum(self.weights, dtype=np.float64)])
+        self.total = np.diff(sums[self.first])
+        order = np.argsort(self.shingles, kind="stable")
+        self.sorted, self.by = self.shingles[order], self.weights[order]
+        self.owner = np.repeat(np.arange(len(self.ref)), np.diff(self.first))[order]
+
+    @classmethod
+    def of(cls, rows: list[pa.RecordBatch]) -> Members:
+        """Rows of (..., ref, label, set), a set being its hashes and then its weights."""
+        table = pa.Table.from_batches(rows)
+        said = [x.as_buffer() for x in table.column("set")]
+        size = [x.size // 12 for x in said]
+        shingles = [np.frombuffer(x, "<u8", n) for x, n in zip(said, size, strict=True)]
+        weights = [np.frombuffer(x, "<f4", n, 8 * n) for x, n in zip(said, size, strict=True)]
+        return cls(table.column("ref").to_numpy(), table.column("label").to_numpy(), np.concatenate(shingles), np.concatenate(weights), np.concatenate([[0], np.cumsum(size)]))
+
+    def likeness(self, other: Members, k: int) -> np.ndarray:
+        """The weighted Jaccard similarity of each member to the other's member k."""
+        a, b = other.first[k], other.first[k + 1]
+        low, high = np.searchsorted(self.sorted, other.shingles[a:b], "left"), np.searchsorted(self.sorted, other.shingles[a:b], "right")
+        many = high - low
+        upto = np.concatenate([[0], np.cumsum(many)])
+        at = np.repeat(low - upto[:-1], many) + np.arange(upto[-1])
+        common = np.bincount(self.owner[at], np.minimum(self.by[at], np.repeat(other.weights[a:b], many)), len(self.ref))
+        return common / (self.total + other.total[k] - common)
+
+
+def forest(sides: list[Members], similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) that connect whatever the similar pairs connect, given the components known.
+
+    Of one side all pairs count, of two those across.  Members are compared with
+    all others one after another, the first at first, until those left are of one
+    component: each pair of two components has then been compared.
+    """
+    ref = np.concatenate([m.ref for m in sides])
+    names, label = np.unique(np.concatenate([m.label for m in sides]), return_inverse=True)
+    total, begin = np.concatenate([m.total for m in sides]), np.cumsum([0] + [len(m.ref) for m in sides])
+    root, left, links = np.arange(len(names)), np.ones(len(ref), bool), []
+    x = 0
+    while True:
+        now = root[label]
+        waiting = np.flatnonzero(left)
+        if links or not left.all() or len(sides) > 1:
+            if not len(waiting):
+                return links
+            most = np.bincount(now[waiting]).argmax()
+            apart = waiting[now[waiting] != most]
+            if not len(apart):
+                return links
+            x = int(apart[0])
+        left[x] = False
+        side = 0 if x < begin[1] else 1
+        other = (side + 1) % len(sides)
+        span = slice(begin[other], begin[other + 1])
+        open_pairs = (now[span] != now[x]) & (np.minimum(total[span], total[x]) >= similarity * np.maximum(total[span], total[x]) * (1 - 1e-6))
+        if not open_pairs.any():
+            continue
+        near = np.flatnonzero(open_pairs & (sides[other].likeness(sides[side], x - begin[side]) >= similarity)) + begin[other]
+        for one in near[np.unique(now[near], return_index=True)[1]].tolist():
+            links.append((int(ref[x]), int(ref[one])))
+            root[root == now[one]] = now[x]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each run of equal values in the first `keys` columns."""
+    held, current = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        cut = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            key = columns[:, a].tolist()
+            if held and key != current:
+                yield held
+                held = []
+            current = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
 def _digests(texts: pa.Array) -> list[bytes]:
     data, offsets = utf8(texts)
     return [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -175,7 +280,7 @@ def _idf(answers: list[dict] | None, hashes: np.ndarray, documents: int, parts:
     return (1 + IDF_SHARE * np.clip(1 - level * (np.log(2) / 8) / np.log(max(documents, 2)), 0, 1))[back]
 
 
-def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, parts: int | None = None, keep_rows: bool = False) -> DataFrame:
+def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, parts: int | None = None, keep_rows: bool = False, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """(doc_id, class_id, kept): the class of near-duplicates of each document.
 
     The class is named by its least doc_id; `kept` is true for one document of
@@ -217,69 +322,78 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
     def bands(row: dict) -> Iterator[pa.RecordBatch]:
         ref, shingles, weights, first = vectors(row, "chosen")
         full = np.flatnonzero(np.diff(first))
-        total = np.add.reduceat(weights, first[full]) if len(full) else np.zeros(0)
         keys = band_keys(signatures(shingles, weights, np.append(first[full], first[-1]))) if len(full) else np.zeros((0, BANDS), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ref[full], BANDS), pa.int64()), pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(total, BANDS))], names=["ref", "band", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ref[full], BANDS), pa.int64()), pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(np.diff(first)[full], BANDS), pa.int32())], names=["ref", "band", "size"])
 
-    placed = stored(each_block(known.join(lists, "block"), bands, "ref bigint, band bigint, weight double"), "bands", batch=8)
+    placed = stored(each_block(known.join(lists, "block"), bands, "ref bigint, band bigint, size int"), "bands", batch=8)
     sizes = placed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     met = stored(placed.join(sizes, "band"), "met")
     rank = met.groupBy("ref").agg(F.sum("members").alias("shared"))
-    ranked = met.join(rank, "ref")
-
-    def leading(members: DataFrame) -> DataFrame:
-        """Of each band the member that shares most band keys with others."""
-        most = F.min(F.struct((-F.col("shared")).alias("s"), F.col("ref").alias("leader"), F.col("weight").alias("leader_weight")))
-        return members.groupBy("band").agg(most.alias("m")).select("band", "m.leader", "m.leader_weight")
-
-    def possible(a: str, b: str):
-        """Sets whose total weights differ by more than the similarity allows can't be similar."""
-        return F.least(a, b) >= similarity * F.greatest(a, b) * (1 - 1e-6)
-
-    wanted = rank.select((F.shiftright("ref", 16)).alias("block"), F.expr("cast(ref & 65535 AS int)").alias("row"))
-    wanted = wanted.groupBy("block").agg(F.sort_array(F.collect_list("row")).alias("wanted"))
+    most = F.min(F.struct((-F.col("shared")).alias("s"), F.col("ref").alias("leader")))
+    led = met.join(rank, "ref").groupBy("band").agg(most["leader"].alias("leader"), F.max("members").alias("members"))
+    # A band of many members is dealt by parts of its members, so that no task gets them all.
+    part = F.expr("cast(ceil(members / 1000) AS bigint)")
+    led = led.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), part - 1))).select("band", "part", "leader")
+    groups = met.withColumn("part", F.pmod(F.xxhash64("ref"), part)).join(led, ["band", "part"]).groupBy("leader", "ref").agg(F.max("size").alias("size"))
+    groups = stored(groups, "groups")
+    cells = groups.groupBy("leader").agg(F.ceil(F.sum("size") * 12 / F.lit(cell_bytes)).alias("cells")).filter("cells > 1")
+    # Groups of one cell, which are nearly all, need not be counted out.
+    dealt = groups.join(F.broadcast(cells) if cells.count() <= 100_000 else cells, "leader", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("ref"), F.col("cells")).cast("int"))
+
+    def by_block(rows: DataFrame) -> DataFrame:
+        wanted = rows.select(F.shiftright("ref", 16).alias("block"), F.expr("cast(ref & 65535 AS int)").alias("row"), "leader", "i", "j", "label")
+        wanted = wanted.groupBy("block").agg(F.collect_list(F.struct("row", "leader", "i", "j", "label")).alias("wanted"))
+        return known.join(wanted, "block")
 
     def sets(row: dict) -> Iterator[pa.RecordBatch]:
-        ref, shingles, weights, first = vectors(row, "wanted")
-        said = [shingles[a:b].astype("<u8").tobytes() + weights[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(ref, pa.int64()), pa.array(said, pa.binary())], names=["ref", "set"])
-
-    vector = stored(each_block(known.join(wanted, "block"), sets, "ref bigint, set binary"), "sets", batch=8)
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs (a, b) that are similar."""
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            split = lambda x: (np.frombuffer(x, "<u8", len(x) // 12), np.frombuffer(x, "<f4", len(x) // 12, len(x) // 12 * 8))
-            for batch in batches:
-                near = [jaccard(split(x.as_buffer()), split(y.as_buffer())) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-        both = pairs.join(vector.select(F.col("ref").alias("a"), F.col("set").alias("set_a")), "a").join(vector.select(F.col("ref").alias("b"), F.col("set").alias("set_b")), "b")
-        return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a bigint, b bigint"), name, batch=500)
-
-    first = stored(met.join(leading(ranked), "band").filter("ref <> leader").select("band", "ref", "weight", "leader", "leader_weight"), "first")
-    pairs = first.filter(possible("weight", "leader_weight")).select(F.col("ref").alias("a"), F.col("leader").alias("b")).distinct()
-    near_first = verified(pairs, "near")
-    left = first.join(near_first, (first["ref"] == near_first["a"]) & (first["leader"] == near_first["b"]), "left_anti")
-    left = stored(left.select("band", "ref", "weight"), "left")
-    again = left.join(leading(left.join(rank, "ref")), "band").filter("ref <> leader").filter(possible("weight", "leader_weight"))
-    again = again.select(F.col("ref").alias("a"), F.col("leader").alias("b")).distinct()
-    near = near_first.unionByName(verified(again, "near"))
+        row["rows_wanted"] = {w["row"] for w in row["wanted"]}
+        ref, shingles, weights, first = vectors(row, "rows_wanted")
+        said = {int(r): shingles[a:b].astype("<u8").tobytes() + weights[a:b].astype("<f4").tobytes() for r, a, b in zip(ref & 65535, first[:-1], first[1:], strict=True)}
+        held, some = 0, []
+        for w in row["wanted"]:
+            for j in w["j"]:
+                low, high = min(w["i"], j), max(w["i"], j)
+                some.append((w["leader"], low, high, int(w["i"] > j), (row["block"] << 16) + w["row"], w["label"], said[w["row"]]))
+                held += len(some[-1][-1])
+                if held > SENT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), SET_TYPES, strict=True)], names=SET_NAMES)
+                    held, some = 0, []
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), SET_TYPES, strict=True)], names=SET_NAMES)
+
+    def linked(rows: DataFrame, name: str) -> DataFrame:
+        """Links within the cells (i = j), or across the pairs of cells, of rows (leader, i, array of j, ref, label)."""
+
+        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            some = []
+            for cell in grouped(batches, 3):
+                sides = [Members.of(x) for x in grouped(iter(cell), 4)]
+                if cell[0].column(1)[0].as_py() == cell[0].column(2)[0].as_py() or len(sides) == 2:
+                    some += forest(sides, similarity)
+                if len(some) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], names=["a", "b"])
+                    some = []
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], names=["a", "b"])
+
+        sent = each_block(by_block(rows), sets, SET_SCHEMA).repartition("leader", "i", "j")
+        sent = sent.sortWithinPartitions("leader", "i", "j", "side", F.col("ref") != F.col("leader"), "ref")
+        return stored(sent.mapInArrow(link, "a bigint, b bigint"), name, batch=32)
+
+    # The leader goes to all cells of its group, every other member to one.
+    every = F.sequence(F.lit(0), F.col("cells").cast("int") - 1)
+    first = dealt.withColumn("i", F.explode(F.when(F.col("ref") == F.col("leader"), every).otherwise(F.array("cell"))))
+    near = linked(first.select("leader", "i", F.array("i").alias("j"), "ref", F.col("ref").alias("label")), "near")
     label = stored(components(near), "label")
 
-    # Pairs that share a band and are still apart: each band's members by component.
-    apart = met.select("band", "ref", "weight").join(label.withColumnRenamed("node", "ref"), "ref", "left").select("band", "ref", "weight", F.coalesce("label", "ref").alias("label"))
-    mixed = apart.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-    apart = stored(apart.join(mixed, "band"), "apart")
-    x = apart.select("band", F.col("ref").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"))
-    y = apart.select("band", F.col("ref").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"))
-    others = x.join(y, (x["band"] == y["band"]) & (F.col("la") < F.col("lb")) & possible("wa", "wb")).select("a", "b").distinct()
-    tried = first.select(F.col("ref").alias("a"), F.col("leader").alias("b")).unionByName(again)
-    tried = tried.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
-    others = others.join(tried, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
-    more = verified(others, "near")
-    if not more.isEmpty():
+    # Groups of several cells that are not one component: across the cells.
+    several = dealt.filter("cells > 1").join(label.withColumnRenamed("node", "ref"), "ref", "left").withColumn("label", F.coalesce("label", "ref"))
+    mixed = several.groupBy("leader").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("leader")
+    several = stored(several.join(mixed, "leader"), "several")
+    if not several.isEmpty():
+        others = F.filter(every, lambda k: k != F.col("cell"))
+        more = linked(several.select("leader", F.col("cell").alias("i"), others.alias("j"), "ref", "label"), "more")
         label = stored(components(near.unionByName(more)), "label")
 
     named = one.join(label.withColumnRenamed("node", "ref"), "ref", "left").withColumn("label", F.coalesce("label", "ref"))

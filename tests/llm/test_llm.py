@@ -374,10 +374,51 @@ def test_near_dedup(spark):
     least = {x: min(k for k in range(len(texts)) if label[k] == x) for x in set(label)}
     assert {k: v[0] for k, v in got.items()} == {k: least[label[k]] for k in range(len(texts))}
     assert {k for k, v in got.items() if v[1]} == set(least.values())
+    cells = minhash.classes(docs, cell_bytes=6000)  # groups of several cells
+    assert {r.doc_id: (r.class_id, r.kept) for r in cells.collect()} == got
     stay = minhash.drop_near_duplicates(docs)
     assert stay.columns == docs.columns and {r.doc_id for r in stay.collect()} == set(least.values())
 
 
+def test_cells_lose_no_link():
+    rng = np.random.default_rng(19)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = []
+    for _ in range(150):  # edits of one set, alike by 0.5 to 1
+        s = base.copy()
+        n = int(rng.integers(0, 26))
+        s[rng.permutation(60)[:n]] = rng.integers(0, 2**63, n)
+        s = np.unique(s)
+        sets.append((s, (1 + (s % np.uint64(3)).astype(np.float64) / 4).astype(np.float32)))
+
+    def connected(links):
+        label = list(range(150))
+        for a, b in links:
+            label = [label[b] if x == label[a] else x for x in label]
+        return {frozenset(k for k in range(150) if label[k] == x) for x in label}
+
+    def members(ks, label):
+        first = np.concatenate([[0], np.cumsum([len(sets[k][0]) for k in ks])])
+        return minhash.Members(np.array(ks), np.array([label[k] for k in ks]), np.concatenate([sets[k][0] for k in ks]), np.concatenate([sets[k][1] for k in ks]), first)
+
+    true = []
+    for i in range(150):
+        for j in range(i):
+            a, b = dict(zip(*map(list, sets[i]), strict=True)), dict(zip(*map(list, sets[j]), strict=True))
+            low = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
+            if low / (sum(a.values()) + sum(b.values()) - low) >= 0.8:
+                true.append((i, j))
+    assert len(connected(true)) > 1
+    own = list(range(150))
+    assert connected(minhash.forest([members(own, own)], 0.8)) == connected(true)
+    parts = [list(range(k, 150, 3)) for k in range(3)]
+    inner = [x for p in parts for x in minhash.forest([members(p, own)], 0.8)]
+    groups = connected(inner)
+    label = [min(next(g for g in groups if k in g)) for k in range(150)]
+    across = [x for i in range(3) for j in range(i) for x in minhash.forest([members(parts[j], label), members(parts[i], label)], 0.8)]
+    assert connected(inner + across) == connected(true)
+
+
 def test_near_dedup_odd(spark):
     rows = minhash.classes(odd(spark)).collect()
     assert len(rows) == 7 and sum(r.kept for r in rows) == 5
