@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.frames import add_columns
+from docspark.llm.frames import add_columns, set_aside
 from docspark.llm.words import Hasher, alnum_words, mix, slices
 
 #: A window of the benchmark takes about 200 bytes, so that a block is at most 100 MB.
@@ -153,6 +153,10 @@ def _again(df: DataFrame, text: str, make) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+#: Columns that mark() and judge() add.
+MADE = ("n_words", "hit_words", "hit_items", "n_hit", "contaminated")
+
+
 def _union(flat: list[int]) -> list[int]:
     """Intervals [start, end, start, end ...] as disjoint ones in order."""
     out: list[int] = []
@@ -174,14 +178,18 @@ def judge(marked: DataFrame, share: int = 20) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", **options) -> DataFrame:
     """The documents without contaminated ones (`remove="documents"`), or with the hit words cut out (`"spans"`).
 
-    The columns stay those of `docs`.  Cutting keeps the text outside the hit
+    The columns stay those of `docs`, also those named as what is computed here.
+    Null and empty texts stay as they are, as does everything if the benchmark is
+    empty; repeated rows are judged each.  Cutting keeps the text outside the hit
     words as it is; a document that is all hit becomes empty.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    columns, marked = docs.columns, mark(docs, benchmark, text, **options)
+    held, back = set_aside(docs, MADE)
+    text = next((n for n, c in back.items() if c == text), text)
+    marked = mark(held, benchmark, text, **options)
     if remove == "documents":
-        return judge(marked).filter("not contaminated").select(*columns)
+        return judge(marked).filter("not contaminated").select([F.col(f"`{c}`") for c in held.columns]).withColumnsRenamed(back)
 
     def cut(part: pa.RecordBatch) -> list[pa.Array]:
         texts = part.column(part.schema.get_field_index(text))
@@ -197,7 +205,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
                 out[k] = b"".join([*pieces, raw[left:]]).decode()
         return [pa.array(out, pa.string())]
 
-    return add_columns(marked, text, f"`{text}` string", cut).select(*columns)
+    return add_columns(marked, text, f"`{text}` string", cut).select([F.col(f"`{c}`") for c in held.columns]).withColumnsRenamed(back)
 
 
 def _before(raw: bytes) -> int:

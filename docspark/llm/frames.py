@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the frame has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns of these names (in any case) renamed, and how to name them back."""
+    wanted = {n.lower() for n in names}
+    back = {f"{c}-{uuid.uuid4().hex}": c for c in df.columns if c.lower() in wanted}
+    return df.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
 def local_uri(uri: str) -> str:
     """`file:/x` as `file:///x`, which pyarrow understands; others unchanged."""
     return "file:///" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri

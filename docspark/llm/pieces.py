@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.frames import add_columns, stored
+from docspark.llm.frames import add_columns, free_name, stored
 from docspark.llm.tokens import Encoder, encoder
 from docspark.llm.words import slices, utf8
 
 #: Texts of more characters are cut into chunks.
 GIANT = 50_000
 CHUNK = 8_192
+#: Rows of text that Spark hands to Python at once.
+HELD_ROWS = 500
 MARK = "▁"
 NONE = -np.inf
 
@@ -259,8 +261,9 @@ def _giants(docs: DataFrame, mark: int, sent, longest: int, text: str, chunk: in
     """The ids of giant texts by the scan; equal texts are encoded once."""
     if chunk < longest:
         raise ValueError("a chunk is at least as long as the longest piece")
-    keyed = docs.withColumn("_key", F.sha2(text, 256))
-    texts = keyed.select("_key", F.col(text).alias("said")).groupBy("_key").agg(F.first("said").alias("said"))
+    own, told = free_name(docs, "_key"), free_name(docs, "ids")
+    keyed = docs.withColumn(own, F.sha2(text, 256))
+    texts = keyed.select(F.col(own).alias("_key"), F.col(text).alias("said")).groupBy("_key").agg(F.first("said").alias("said"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,16 +275,17 @@ def _giants(docs: DataFrame, mark: int, sent, longest: int, text: str, chunk: in
                     names=["_key", "k", "size", "said"],
                 )
 
-    chunks = stored(texts.mapInArrow(cut, "_key string, k int, size int, said string"), "chunks").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key", "k")
+    chunks = stored(texts.mapInArrow(cut, "_key string, k int, size int, said string"), "chunks", batch=HELD_ROWS).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key", "k")
 
     def each(run, name: str, kind: str, source: DataFrame) -> DataFrame:
         """A new column from every chunk."""
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = {"binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
             for batch in batches:
-                rows = [run(vocabulary(mark, sent.value), *r) for r in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
-                kinds = {"binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kinds[kind])], names=["_key", "k", name])
+                for part in slices(batch, "said"):
+                    rows = [run(vocabulary(mark, sent.value), *r) for r in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, kinds[kind])], names=["_key", "k", name])
 
         return source.mapInArrow(apply, f"_key string, k int, {name} {kind}")
 
@@ -315,12 +319,13 @@ def _giants(docs: DataFrame, mark: int, sent, longest: int, text: str, chunk: in
     columns = ["_key", "k", "size", "said"]
     matrices = each(lambda v, size, said: v.matrix(said, size).astype("<f8").tobytes(), "matrix", "binary", chunks)
     entry = matrices.groupBy("_key").applyInPandas(entries, "_key string, k int, entry binary")
-    begun = stored(chunks.join(entry, ["_key", "k"]).select(*columns, "entry"), "begun")
+    begun = stored(chunks.join(entry, ["_key", "k"]).select(*columns, "entry"), "begun", batch=HELD_ROWS)
     found = each(states, "states", "binary", begun)
     state = found.groupBy("_key").applyInPandas(exits, "_key string, k int, state int")
     ids = each(traced, "part", "array<int>", begun.join(state, ["_key", "k"]).select(*columns, "entry", "state"))
     whole = ids.groupBy("_key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "part"))), lambda x: x["part"])).alias("ids"))
-    return keyed.join(whole, "_key").select(*docs.columns, "ids")
+    whole = whole.withColumnsRenamed({"_key": own, "ids": told})
+    return keyed.join(whole, own).select(*docs.columns, F.col(told).alias("ids"))
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -346,6 +351,8 @@ def digests(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
 
     The ids are digested and decoded where they are made, so that they need not
     be moved; ids_sha256 is that of the ids as little-endian 32-bit numbers.
+    A null or empty text has no ids and decodes to the empty text; repeated rows
+    are encoded each; other columns are not returned.
     """
     with open(model, "rb") as f:
         proto = f.read()
@@ -380,7 +387,8 @@ def digests(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = F.coalesce(F.length("text"), F.lit(0))
     giants = _giants(rows.filter(size > giant), mark, sent, known.longest, "text", chunk)
-    return rows.filter(size <= giant).mapInArrow(short, schema).unionByName(giants.mapInArrow(long, schema))
+    # Written here, as few rows of text are handed to Python at once; what is written is small.
+    return stored(rows.filter(size <= giant).mapInArrow(short, schema).unionByName(giants.mapInArrow(long, schema)), "digests", batch=HELD_ROWS)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.llm.frames import free_name
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of the SHA-256 digest in the join key: 32 bits.
 PREFIX_HEX = 8
@@ -85,11 +87,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         .groupBy("host", "path")
         .agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "action"), F.struct(length, F.length("rule_host"))).alias("best"))
     )
+    best = free_name(rows, "best")
+    found = found.withColumnRenamed("best", best)
     judged = rows.filter("host <> ''").join(found, ["host", "path"], "left")
-    none = rows.filter("host = ''").withColumn("best", F.lit(None).cast("struct<rule:string,action:string>"))
+    none = rows.filter("host = ''").withColumn(best, F.lit(None).cast("struct<rule:string,action:string>"))
     kept = [c for c in rows.columns if c not in ("host", "path")]
-    out = judged.select(*kept, "host", "path", "best").unionByName(none.select(*kept, "host", "path", "best"))
-    out = out.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    out = judged.select(*kept, "host", "path", best).unionByName(none.select(*kept, "host", "path", best))
+    out = out.select(*kept, "host", "path", F.col(best)["rule"].alias("rule"), F.coalesce(F.col(best)["action"], F.lit(default)).alias("verdict"))
     return out.withColumnsRenamed({"url": url} if url != "url" else {})
 
 

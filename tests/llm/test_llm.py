@@ -468,3 +468,43 @@ def test_flags():
     rng = np.random.default_rng(0)
     x = rng.random(77) > 0.5
     assert (flags(np.packbits(x).tobytes(), 77) == x).all()
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", 7), (2, None, 8)], "page_id int, url string, best int")
+    rows = urls.judge(pages, urls.rule_table(spark, urls.RULES)).select("page_id", "best", "verdict").orderBy("page_id").collect()
+    assert [tuple(r) for r in rows] == [(1, 7, "block"), (2, 8, "allow")]
+    words = " ".join(f"w{k}" for k in range(20))
+    names = ("n_words", "hit_words", "hit_items", "n_hit", "contaminated")
+    docs = spark.createDataFrame([(1, "a b c", -7, -6, -5, -4, -3), (2, words, 1, 2, 3, 4, 5)], "doc_id int, text string, " + ", ".join(f"{n} int" for n in names))
+    items = spark.createDataFrame([("i", words)], "item_id string, text string")
+    assert [tuple(r) for r in decontaminate.decontaminate(docs, items).collect()] == [(1, "a b c", -7, -6, -5, -4, -3)]
+    cut = decontaminate.decontaminate(docs, items, remove="spans").orderBy("doc_id").collect()
+    assert [tuple(r) for r in cut] == [(1, "a b c", -7, -6, -5, -4, -3), (2, "", 1, 2, 3, 4, 5)]
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    said = ["the cat and the dog went out into the rain", "der hund und die katze gehen in den regen hinaus"]
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.sample(said[k % 2].split(), 9)) + f" {said[k % 2].split()[k % 9]}", ["en", "de"][k % 2]) for k in range(40)]
+    item = " ".join(f"item{k}" for k in range(13))
+    rows += [(90, None, None), (91, "", "en"), (92, "12 34", None), (93, item, "en"), (94, said[0], "en"), (94, said[0], "en"), (None, said[1] + " " + said[1], None), (95, " ".join(f"{said[0]} {k}" for k in range(7000)), "en")]
+    clashing = ("lang_pred", "score", "resembles", "n_hit", "contaminated", "block", "row", "ref", "band", "label", "_key", "n_words")
+    docs = spark.createDataFrame([(*r, *range(len(clashing))) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"{c} int" for c in clashing)).repartition(2)
+    spark.createDataFrame([("i", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, docs.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            before, now = now, stage(spark, now, str(tmp_path))
+            if name != "sentencepiece":
+                assert now.columns == docs.columns
+                assert now.count() <= before.count()
+                if table is docs:
+                    assert all(tuple(r) == tuple(range(len(clashing))) for r in now.select(*clashing).collect())
+        out = now.collect()
+        assert all(r.round_trip for r in out)
+        if table is docs:
+            assert 95 in {r.doc_id for r in out} and not {90, 91, 92, 93} & {r.doc_id for r in out}
+            assert sum(r.doc_id == 94 for r in out) == 1
