@@ -411,7 +411,8 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
     def keep(row: dict) -> Iterator[pa.RecordBatch]:
         yield unpack(row["rows"]).take(pa.array(row["stay"], pa.int64()))
 
-    return each_block(blocks.join(stay, "block"), keep, docs.schema)
+    # The list of rows grows with the table: the same join at every size.
+    return each_block(blocks.join(stay.hint("merge"), "block"), keep, docs.schema)
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
