@@ -29,8 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     made = ("lang_pred", "score", "resembles")
     held, back = set_aside(docs, made)
     kept = langid.predict(held, model).filter("resembles").drop(*made).withColumnsRenamed(back)
-    # Written here, as few rows of text are handed to Python at once.
-    return stored(kept.select(*columns), "languages", batch=1000)
+    return kept.select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
