@@ -52,9 +52,9 @@ def split_valid(chunks: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame
 
 
 def _pack(df: DataFrame, id_column: str, scope: str | None, names: str) -> DataFrame:
-    """Blocks: (ids, scopes, vectors) of up to BLOCK rows."""
+    """Blocks: (ids, scopes, vectors) of up to BLOCK rows; rows without a vector are left out, as they are like nothing."""
     scopes = F.col(scope) if scope else F.lit(None)
-    rows = df.select(F.col(id_column).cast("bigint").alias("id"), scopes.cast("string").alias("scope"), V.doubles(F.col("vector")).alias("vector"))
+    rows = df.filter(F.col("vector").isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), scopes.cast("string").alias("scope"), V.doubles(F.col("vector")).alias("vector"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

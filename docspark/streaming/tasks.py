@@ -15,7 +15,7 @@ from docspark.functions import text as X
 from docspark.operators import tasks as K
 from docspark.operators.embed import embed
 
-STATE = "status string, started_at timestamp, ended_at timestamp, result string, last_ts timestamp, last_id bigint, failures bigint, events bigint"
+STATE = "status string, started_at timestamp, ended_at timestamp, result string, last_ts timestamp, last_id bigint, failures bigint, events bigint, result_ts timestamp, result_id long"
 OUTPUT = "task_id string, status string, started_at timestamp, completed_at timestamp, result string, failures bigint, events bigint"
 
 
@@ -45,8 +45,8 @@ def keyed_state(events: DataFrame, expire_days: int | None = None) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        status, started, ended, result, last_ts, last_id, failures, n = state.get if state.exists else (None, None, None, None, None, -1, 0, 0)
-        newest_result = (last_ts, last_id) if result is not None else None
+        status, started, ended, result, last_ts, last_id, failures, n, result_ts, result_id = state.get if state.exists else (None, None, None, None, None, -1, 0, 0, None, -1)
+        newest_result = (result_ts, result_id) if result is not None else None
         for part in parts:
             for r in part.sort_values(["ts", "event_id"]).itertuples():
                 at = (r.ts, r.event_id)
@@ -60,7 +60,8 @@ def keyed_state(events: DataFrame, expire_days: int | None = None) -> DataFrame:
                     result, newest_result = r.props, at
                 if last_ts is None or at >= (last_ts, last_id):
                     status, last_ts, last_id = r.status, r.ts, r.event_id
-        state.update((status, started, ended, result, last_ts, int(last_id), int(failures), int(n)))
+        result_ts, result_id = newest_result or (None, -1)
+        state.update((status, started, ended, result, last_ts, int(last_id), int(failures), int(n), result_ts, int(result_id)))
         if expire_days:
             state.setTimeoutDuration(expire_days * 86_400_000)
         done = ended if status in ("completed", "failed") else None

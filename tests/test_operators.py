@@ -120,3 +120,10 @@ def test_files(spark, tmp_path):
     df = spark.createDataFrame([("a.md", "# Head\n\nsome **bold** [link](u)"), ("b.html", "<p>x &amp; y</p><script>no</script>z"), ("c.pdf", "?")], "file_name string, content string")
     yes, no = files.parse(df)
     assert {r.file_name: r.text for r in yes.collect()} == {"a.md": "Head\n\nsome bold link", "b.html": "x & y\n\nz"} and no.first().file_name == "c.pdf"
+
+
+def test_search_without_some_vectors(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, vector array<double>")
+    questions = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "id long, vector array<double>")
+    found = S.top_k(chunks, questions, 5).collect()
+    assert [(r.question_id, r.id) for r in sorted(found, key=lambda r: r["rank"])] == [(7, 1), (7, 3)]

@@ -26,6 +26,24 @@ def test_state_equals_batch(spark, tmp_path):
     assert sorted(map(str, rows.collect())) == sorted(map(str, batch.collect()))
 
 
+def test_late_result_counts_by_its_own_time(spark, tmp_path):
+    e = B.task_events(spark, SF)
+    one = e.filter(K.valid(e) & F.col("ts").isNotNull()).first()
+    hour = one["ts"].replace(hour=0, minute=0, second=0, microsecond=0)
+    rows = [(minute, {**one.asDict(), "event_id": k, "ts": hour.replace(minute=minute), "status": "processing", "props": props}) for k, (minute, props) in enumerate([(10, "a"), (30, None), (20, "b")])]
+    for batch in (rows[:2], rows[2:]):
+        spark.createDataFrame([[r[c] for c in e.columns] for _, r in batch], e.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def keep(batch, n):
+        batch.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")
+
+    source = T.read_events(spark, f"{tmp_path}/in", e.schema, files=1)
+    T.keyed_state(source).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{tmp_path}/out/*").orderBy(F.desc("n")).first()
+    batch = K.state(spark.read.parquet(f"{tmp_path}/in")).first()
+    assert (last["result"], last["events"]) == (batch["result"], 3) and batch["result"] == "b"
+
+
 def test_buckets_equal_batch(spark, tmp_path):
     e = B.task_events(spark, SF)
     for side in (F.col("ts") >= "2024-01-15", F.col("ts") < "2024-01-15", F.col("ts").isNull()):  # the later events come first
