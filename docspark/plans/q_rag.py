@@ -32,13 +32,12 @@ def numbered_context(spark, sf):
 
 KEPT = "kept AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS source FROM (SELECT *, row_number() OVER (PARTITION BY question_id, text ORDER BY rank) AS n FROM hits) WHERE n = 1 AND score >= 0.3)"
 CONTEXT = f"""{HITS}, {KEPT}, ctx AS (
-  SELECT q.question_id, CASE WHEN q.question_id % 100 <> 0 THEN '{G.NO_CONTEXT}' ELSE coalesce((SELECT string_agg('[SOURCE_' || source || '] ' || text, chr(10) || chr(10) ORDER BY source) FROM kept k WHERE k.question_id = q.question_id), '') END AS context
+  SELECT q.question_id, CASE WHEN NOT EXISTS (SELECT 1 FROM hits h WHERE h.question_id = q.question_id) THEN '{G.NO_CONTEXT}' ELSE coalesce((SELECT string_agg('[SOURCE_' || source || '] ' || text, chr(10) || chr(10) ORDER BY source) FROM kept k WHERE k.question_id = q.question_id), '') END AS context
   FROM questions q)"""
 
 
 def made_contexts(spark, sf):
-    some = hits(spark, sf).filter("question_id % 100 = 0")
-    return G.contexts(asked(spark, sf), some, 0.3, sources=True)
+    return G.contexts(asked(spark, sf), hits(spark, sf), 0.3, sources=True)
 
 
 @query("txt18_set3_win4_context", f"WITH {CONTEXT} SELECT question_id, context FROM ctx")

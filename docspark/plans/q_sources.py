@@ -10,6 +10,7 @@ from docspark.functions import text as X
 from docspark.operators import registry as R
 from docspark.plans import tables as B
 from docspark.plans.catalog import SQL, query
+from docspark.plans.q_text import CLEAN
 from docspark.sources import files as S
 
 
@@ -19,7 +20,16 @@ def folder(spark, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("src3_pages_to_text")
+def html_text_sql(column: str) -> str:
+    t = f"regexp_replace(coalesce({column}, ''), '(?is)<script\\b.*?</script[ \\t-\\r]*>|<style\\b.*?</style[ \\t-\\r]*>|<!--.*?-->', ' ', 'g')"
+    t = f"regexp_replace({t}, '[ \\t-\\r]+', ' ', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '(?i)</?(?:{S.BLOCK_TAGS})\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for name, said in S.ENTITIES.items():
+        t = f"replace({t}, '{name}', '{said.replace(chr(39), chr(39) * 2)}')"
+    return f"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10) || chr(10))"
+
+
+@query("src3_pages_to_text", f"SELECT page_id, {html_text_sql('html')} AS text FROM pages")
 def pages(spark, sf):
     return B.read(spark, sf, "pages").select("page_id", S.html_to_text(F.col("html")).alias("text"))
 
@@ -39,13 +49,12 @@ def vectors_written(spark, sf):
     return c.select("id", "file_id", F.round(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x), 6).alias("squares"))
 
 
-@query("snk2_by_date", B.sql("SELECT id, file_name FROM registry WHERE strftime(uploaded_at, '%Y') = '1996' AND strftime(uploaded_at, '%m') = '03'", B.REGISTRY))
+@query("snk2_by_date", B.sql("SELECT id, file_name, year(uploaded_at) AS year, month(uploaded_at) AS month, day(uploaded_at) AS day FROM registry", B.REGISTRY))
 def by_date(spark, sf):
-    """Written by day, one month read again."""
+    """The whole registry written by day and read again, with the columns that it is partitioned by."""
     path = folder(spark, "registry")
-    r = B.registry(spark, sf).filter("year(uploaded_at) = 1996")
-    S.write_by_date(r, path, "uploaded_at")
-    return spark.read.parquet(path).filter((F.col("year") == 1996) & (F.col("month") == 3)).select("id", "file_name")
+    S.write_by_date(B.registry(spark, sf), path, "uploaded_at")
+    return spark.read.parquet(path).select("id", "file_name", *(F.col(c).cast("bigint").alias(c) for c in ("year", "month", "day")))
 
 
 @query(
@@ -65,9 +74,14 @@ def append(spark, sf):
     return spark.read.parquet(path).agg(F.count("*").alias("n"))
 
 
-@query("src1_list_files")
+@query("src1_list_files", f"SELECT DISTINCT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, '{X.UNKNOWN_MIME}' AS mime, true AS named, true AS filled FROM documents")
 def list_files(spark, sf):
-    return S.list_files(spark, sf).select("id", "name", "size", "mime")
+    """The files of the documents written by language: of each folder below, how its files are listed."""
+    path = folder(spark, "listed")
+    B.read(spark, sf, "documents").repartition("lang", F.pmod("doc_id", F.lit(8))).write.partitionBy("lang").parquet(path)
+    files = S.list_files(spark, path).filter(F.col("name").startswith("part-")).withColumn("lang", F.regexp_extract("path", "/lang=([^/]*)/", 1))
+    named = (F.col("name") == F.concat("id", F.lit(".parquet"))) & F.col("path").endswith(F.concat(F.lit("/"), "name"))
+    return files.groupBy("lang", "mime").agg(F.bool_and(named).alias("named"), F.bool_and(F.col("size") > 0).alias("filled"))
 
 
 @query("src2_read_texts", "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents")
@@ -89,7 +103,7 @@ def ingest(spark, sf):
     return spark.read.parquet(f"{path}/registry")
 
 
-@query("str9_incremental_files")
+@query("str9_incremental_files", f"SELECT doc_id, {CLEAN} AS text FROM documents")
 def incremental(spark, sf):
     """The documents table as files that arrive, read by a stream to its end."""
     from docspark.streaming.tasks import run_to_end

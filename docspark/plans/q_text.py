@@ -46,7 +46,11 @@ def title_a(spark, sf):
     return docs(spark, sf).select("doc_id", X.title_from_metadata(given, "text", F.concat(F.lit("dir/file"), F.col("doc_id"), F.lit(".txt"))).alias("title"))
 
 
-@query("txt7_title_from_lines")
+@query(
+    "txt7_title_from_lines",
+    f"""SELECT doc_id, coalesce(list_filter(list_transform(list_slice(string_split(regexp_replace(coalesce(text, ''), '\\A{WS}+|{WS}+\\z', '', 'g'), chr(10)), 1, 5), lambda x: {STRIPPED}),
+        lambda x: length(x) BETWEEN 3 AND 100 AND regexp_matches(x, '[\\p{{L}}\\p{{M}}\\p{{Nl}}\\p{{Pc}}\\x{{200c}}\\x{{200d}}]'))[1], 'document') AS title FROM documents""",
+)
 def title_b(spark, sf):
     return docs(spark, sf).select("doc_id", X.title_from_lines("text", F.lit("document.pdf")).alias("title"))
 
@@ -115,7 +119,12 @@ def format_bytes(spark, sf):
     return B.registry(spark, sf).select("id", X.format_bytes(F.col("file_size") * 37 % 5000000).alias("said"))
 
 
-@query("txt15_format_seconds")
+@query(
+    "txt15_format_seconds",
+    """SELECT event_id, CASE WHEN coalesce(s, 0) = 0 THEN '0s' WHEN s < 60 THEN CAST(CAST(CAST(s AS DECIMAL(18, 2)) AS DECIMAL(18, 1)) AS VARCHAR) || 's'
+        WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || 'm ' || CAST(round(s % 60) AS BIGINT) || 's' ELSE CAST(floor(s / 3600) AS BIGINT) || 'h ' || CAST(floor((s % 3600) / 60) AS BIGINT) || 'm' END AS said
+       FROM (SELECT event_id, round(value * 97, 2) AS s FROM events)""",
+)
 def format_seconds(spark, sf):
     return B.read(spark, sf, "events").select("event_id", X.format_seconds(F.round(F.col("value") * 97, 2)).alias("said"))
 
@@ -144,7 +153,18 @@ def roles(spark, sf):
     return c.filter(said.isNotNull() & F.col("text").isNotNull()).select("conv_id", "turn", X.normalise_role(said).alias("role"))
 
 
-@query("txt24_guess_language")
+def stop_words_sql(lang: str) -> str:
+    known = ", ".join(f"'{w}'" for w in X.STOP_WORDS[lang].split())
+    return f"len(list_filter(w, lambda x: list_contains([{known}], x))) AS {lang}"
+
+
+@query(
+    "txt24_guess_language",
+    f"""SELECT doc_id, guess, guess = lang AS agrees FROM (
+          SELECT doc_id, lang, CASE WHEN de > en AND de >= greatest(es, fr) THEN 'de' WHEN es > en AND es >= greatest(de, fr) THEN 'es' WHEN fr > en AND fr >= greatest(de, es) THEN 'fr' ELSE 'en' END AS guess
+          FROM (SELECT doc_id, lang, {", ".join(map(stop_words_sql, sorted(X.STOP_WORDS)))}
+                FROM (SELECT doc_id, lang, regexp_split_to_array(lower(substr(coalesce(text, ''), 1, 1000)), '[^\\p{{L}}]+') AS w FROM documents)))""",
+)
 def guess_language(spark, sf):
     return docs(spark, sf).select("doc_id", X.guess_language("text").alias("guess"), (X.guess_language("text") == F.col("lang")).alias("agrees"))
 

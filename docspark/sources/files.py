@@ -64,10 +64,20 @@ def merge_sections(df: DataFrame, key: str, position: str, text: str) -> DataFra
     return df.groupBy(key).agg(F.array_join(ordered, "\n\n").alias(text), F.count("*").alias("page_count"))
 
 
-def write_by_date(df: DataFrame, path: str, time: str) -> None:
-    """Partitioned by year, month and day, so that readers skip days that they don't want."""
-    dated = df.withColumns({"year": F.date_format(time, "yyyy"), "month": F.date_format(time, "MM"), "day": F.date_format(time, "dd")})
-    dated.repartition("year", "month", "day").write.mode("overwrite").partitionBy("year", "month", "day").parquet(path)
+def write_by_date(df: DataFrame, path: str, time: str, file_rows: int = 5_000_000) -> None:
+    """Partitioned by year, month and day, so that readers skip days that they don't want.
+
+    Days of more than `file_rows` rows are divided among several tasks by a hash
+    of their rows; rows without a time are a partition of their own.
+    """
+    day = F.coalesce(F.date_format(time, "yyyy-MM-dd"), F.lit(""))
+    large = df.groupBy(day.alias("_day")).agg(F.ceil(F.count("*") / file_rows).alias("_files")).filter("_files > 1")
+    dated = df.withColumns({"year": F.date_format(time, "yyyy"), "month": F.date_format(time, "MM"), "day": F.date_format(time, "dd"), "_day": day}).join(large, "_day", "left")
+    row = [F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    file = F.pmod(F.xxhash64(*row), F.coalesce("_files", F.lit(1)))
+    # A stated number of tasks, as Spark would otherwise join small ones and write thousands of days in a few.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dated.repartition(tasks, "year", "month", "day", file).drop("_day", "_files").write.mode("overwrite").partitionBy("year", "month", "day").parquet(path)
 
 
 def storage_path(id_column: Column, name: Column, time: Column) -> Column:

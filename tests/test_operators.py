@@ -127,3 +127,14 @@ def test_search_without_some_vectors(spark):
     questions = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "id long, vector array<double>")
     found = S.top_k(chunks, questions, 5).collect()
     assert [(r.question_id, r.id) for r in sorted(found, key=lambda r: r["rank"])] == [(7, 1), (7, 3)]
+
+
+def test_write_by_date_divides_large_days(spark, tmp_path):
+    rows = [(i, "1996-03-01 08:00:00") for i in range(40)] + [(40, "1997-12-31 23:59:59"), (41, None), (41, None)]
+    df = spark.createDataFrame(rows, "id int, t string").withColumn("at", F.col("t").cast("timestamp"))
+    files.write_by_date(df, str(tmp_path / "days"), "at", file_rows=10)
+    got = spark.read.parquet(str(tmp_path / "days"))
+    assert sorted((r.id, r.t or "") for r in got.collect()) == sorted((i, t or "") for i, t in rows)
+    assert set(got.columns) == {"id", "t", "at", "year", "month", "day"}
+    assert got.filter("year = 1996 AND month = 3 AND day = 1").count() == 40
+    assert len(list((tmp_path / "days" / "year=1996").rglob("*.parquet"))) > 1
