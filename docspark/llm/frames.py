@@ -16,10 +16,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
     Only where that is unset (as in tests), a folder below the warehouse is used.
+    A path without a scheme lies in the cluster's default file system.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     if "://" not in top and not top.startswith("file:"):
-        top = f"file://{top}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+        top = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

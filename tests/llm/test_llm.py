@@ -508,3 +508,11 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
         if table is docs:
             assert 95 in {r.doc_id for r in out} and not {90, 91, 92, 93} & {r.doc_id for r in out}
             assert sum(r.doc_id == 94 for r in out) == 1
+
+
+def test_shared_folder_in_the_default_file_system(spark):
+    from docspark.llm.frames import local_uri, shared_folder
+
+    top = spark.conf.get("spark.checkpoint.dir")
+    assert "://" not in top
+    assert local_uri(shared_folder(spark, "x")).startswith(f"file://{top}/x-")
