@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 WS = r"[ \t\n\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LINE_WS = r"[ \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 CONTROLS = r"[\x00-\x09\x0B\x0C\x0E-\x1F\x7F]"
+#: Messages that are greetings.
 GREETINGS = ["你好", "您好", "早上好", "下午好", "晚上好", "嗨", "hi", "hello", "hey", "嘿", "哈喽", "喂", "在吗", "在么", "在不在"]
 #: What is known of file extensions when files are stored, parsed, and sniffed.
 STORED_MIME = {

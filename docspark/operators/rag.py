@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import text as X
 
+#: Fixed value: what stands for a context without hits.
 NO_CONTEXT = "No relevant context information found."
 DEFAULT_TEMPLATE = "Answer from the context alone; say so if it does not suffice.\n\nContext:\n{context}\n\nQuestion: {question}\n"
 REASONING_TEMPLATE = "Think step by step, then answer from the context alone; say so if it does not suffice.\n\nContext:\n{context}\n\nQuestion: {question}\n"
@@ -59,6 +60,7 @@ def prompts(questions: DataFrame, made: DataFrame, style: Column | str = "defaul
 
 
 def wrap_prompt(question: Column, context: Column) -> Column:
+    """The question behind its context, in fixed sentences."""
     rule = "-" * 21
     return F.concat(F.lit(f"Context information is below.\n{rule}\n"), context, F.lit(f"\n{rule}\nGiven the context information and not prior knowledge, answer the question: "), question)
 
