@@ -9,6 +9,7 @@ from docspark.llm.langid import op4_language_id
 from docspark.llm.minhash import op9_near_dedup
 from docspark.llm.pieces import op6_sentencepiece
 from docspark.llm.records import op8_token_records
+from docspark.llm.rules import op11_quality_rules
 from docspark.llm.simhash import op3_simhash
 from docspark.llm.substrings import OP5_SQL, op5_substring_dedup
 from docspark.llm.urls import OP2_SQL, op2_url_filter
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_records": op8_token_records,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_quality_rules": op11_quality_rules,
 }
 SQL = {
     "op2_url_filter": OP2_SQL,
