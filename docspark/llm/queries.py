@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docspark.llm.align import op13_tokenizer_alignment
 from docspark.llm.bpe_count import op7_token_counts
 from docspark.llm.decontaminate import OP10_SQL, op10_decontaminate
 from docspark.llm.html_text import op1_html_text
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
     "op11_quality_rules": op11_quality_rules,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 SQL = {
     "op2_url_filter": OP2_SQL,

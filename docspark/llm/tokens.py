@@ -22,10 +22,11 @@ ENCODED_TOGETHER = 5_000
 HASHER = Hasher(8)
 
 
-def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(texts: pa.Array, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(data, starts, ends, first): texts cut before each run of ASCII white space.
 
-    A cut is left out after Unicode white space, since one token could hold both.
+    A cut is left out after Unicode white space, since one token could hold both,
+    and before bytes that are not in `begins`, a mask of 256 (none: all may begin a piece).
     Piece j of text k is number first[k] + j; together the pieces are the text.
     """
     data, offsets = utf8(texts)
@@ -33,11 +34,12 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         return data, *(np.zeros(0, np.int64),) * 2, np.zeros(len(offsets), np.int64)
     white = WHITE[data]
     cut = np.flatnonzero(white[1:] & ~white[:-1]) + 1
+    if begins is not None:
+        cut = cut[begins[data[cut]]]
     last, before = data[cut - 1], data[np.maximum(cut - 2, 0)]
     wide = (last >= 0x80) & (((before == 0xC2) & ((last == 0x85) | (last == 0xA0))) | ((before >= 0x80) & (before <= 0x81)) | (before == 0x9A))
     cut = cut[~wide & ~((last >= 0x1C) & (last <= 0x1F))]
-    begins = offsets[:-1][np.diff(offsets) > 0]
-    starts = np.union1d(cut, begins)
+    starts = np.union1d(cut, offsets[:-1][np.diff(offsets) > 0])
     return data, starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets, "left")
 
 
@@ -66,10 +68,14 @@ class Store:
     def add(self, keys: np.ndarray, runs: list) -> None:
         """keys are ascending and new."""
         sizes = np.fromiter(map(len, runs), np.int32, len(runs))
-        total = int(sizes.sum())
+        self.add_flat(keys, np.fromiter((x for run in runs for x in run), self.kind, int(sizes.sum())), sizes)
+
+    def add_flat(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """The same for runs that stand one after the other in `flat`."""
+        sizes, total = sizes.astype(np.int32), len(flat)
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, self.used), self.kind)])
-        self.pool[self.used : self.used + total] = np.fromiter((x for run in runs for x in run), self.kind, total)
+        self.pool[self.used : self.used + total] = flat
         level = (keys, self.used + np.cumsum(sizes) - sizes, sizes)
         self.used += total
         fresh = _merge(self.levels[1], level)
