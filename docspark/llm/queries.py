@@ -9,6 +9,7 @@ from docspark.llm.html_text import op1_html_text
 from docspark.llm.langid import op4_language_id
 from docspark.llm.minhash import op9_near_dedup
 from docspark.llm.pieces import op6_sentencepiece
+from docspark.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from docspark.llm.records import op8_token_records
 from docspark.llm.rules import op11_quality_rules
 from docspark.llm.simhash import op3_simhash
@@ -27,10 +28,12 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
     "op11_quality_rules": op11_quality_rules,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 SQL = {
     "op2_url_filter": OP2_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
