@@ -2,14 +2,19 @@
 
 Tokens are what white space separates; a sentence ends after `.`, `!`, `?` or
 their CJK forms followed by white space (after CJK forms, by anything).
+Sentence and paragraph chunks count tokens as `functions.text.estimate_tokens`
+does, so that scripts without spaces and very long words have a size too.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
+from docspark.functions.packing import packed_chunks
 
 SIZE, OVERLAP = 1000, 200
 KINDS = ("sentence", "token", "paragraph", "semantic", "hierarchical")
@@ -38,64 +43,65 @@ def token_chunks(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text:
     return cut.select(*kept, "index", "begin", F.array_join(F.slice("_tokens", F.col("begin") + 1, F.lit(size)), " ").alias(text))
 
 
-def packed(parts: Column, size: int, overlap: int, glue: str) -> Column:
-    """Parts put together while they fit in `size` characters; the next begins with the last parts that fit in `overlap`."""
-    length = lambda xs: F.length(F.array_join(xs, glue))
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"))
-
-    def tail(xs: Column, part: Column) -> Column:
-        fits = F.filter(F.transform(F.sequence(F.lit(1), F.size(xs)), lambda k: F.slice(xs, -k, k)), lambda s: (length(s) <= overlap) & (length(F.array_append(s, part)) <= size))
-        return F.coalesce(F.try_element_at(fits, F.lit(-1)), F.array().cast("array<string>"))
-
-    def add(s: Column, part: Column) -> Column:
-        fits = (F.size(s["open"]) == 0) | (length(F.array_append(s["open"], part)) <= size)
-        closed = F.array_append(s["done"], F.array_join(s["open"], glue))
-        return F.struct(F.when(fits, s["done"]).otherwise(closed).alias("done"), F.when(fits, F.array_append(s["open"], part)).otherwise(F.array_append(tail(s["open"], part), part)).alias("open"))
-
-    return F.aggregate(parts, state, add, lambda s: F.when(F.size(s["open"]) > 0, F.array_append(s["done"], F.array_join(s["open"], glue))).otherwise(s["done"]))
-
-
 def sentences(text: Column | str) -> Column:
     marked = F.regexp_replace(X._text(text), r"([.!?]+)\s+|([。！？]+)\s*", "$1$2\u0001")
     return F.filter(F.transform(F.split(marked, "\u0001"), X.strip), lambda s: s != "")
 
 
-def paragraphs(text: Column | str) -> Column:
-    return F.filter(F.transform(F.split(X._text(text), r"\n\n+"), X.strip), lambda s: s != "")
-
-
 def sentence_chunks(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
+    """(…, index, text): sentences put together while they fit in `size` tokens; a chunk begins with the last ones of the chunk before that fit in `overlap`.
+
+    A sentence that doesn't fit is cut into clauses, these into words, and a
+    word into runs of characters, so that no chunk has more than `size` tokens.
+    """
     check(size, overlap)
-    kept = [c for c in df.columns if c != text]
-    return df.select(*kept, F.posexplode(packed(sentences(text), size, overlap, " ")).alias("index", text))
+    return packed_chunks(df, "sentence", size, overlap, text)
 
 
 def paragraph_chunks(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
+    """The same for paragraphs, which are cut into sentences where they don't fit."""
     check(size, overlap)
-    kept = [c for c in df.columns if c != text]
-    return df.select(*kept, F.posexplode(packed(paragraphs(text), size, overlap, "\n\n")).alias("index", text))
+    return packed_chunks(df, "paragraph", size, overlap, text)
+
+
+def _windows(begin: Column, n: Column, width: int, overlap: int, index: Column) -> Column:
+    """Windows over n tokens from `begin` on, as an array of structs."""
+    step = width - overlap
+    return F.transform(
+        F.sequence(F.lit(0), window_count(n, width, overlap) - 1),
+        lambda i: F.struct((begin + i * step).alias("begin"), F.least(F.lit(width), n - i * step).alias("n"), index.alias("parent_index")),
+    )
+
 
+def hierarchical_chunks(df: DataFrame, size: int = SIZE, overlap: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, level, index, parent_index, begin, end, text): token windows of size, size/2 and size/4 that overlap.
 
-def hierarchical_chunks(df: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token windows of size, size/2 and size/4 without overlap; each names the window of the level above that holds its first token."""
-    check(size, 0)
-    levels = []
-    for level in range(3):
+    The windows of a level lie within those of the level above, their parents; a
+    window's tokens are begin to end - 1 of the text.
+    """
+    check(max(1, size >> 2), overlap)
+    tokens = df.select(key, X.words(text).alias("_tokens")).filter(F.size("_tokens") > 0)
+    none = F.lit(None).cast("int")
+    tokens = tokens.withColumn("_level0", _windows(F.lit(0), F.size("_tokens"), size, overlap, none))
+    for level in (1, 2):
         width = max(1, size >> level)
-        rows = token_chunks(df.select(key, text), width, 0, text)
-        parent = F.lit(None).cast("int") if level == 0 else F.floor(F.col("begin") / max(1, size >> (level - 1))).cast("int")
-        levels.append(rows.select(key, F.lit(level).alias("level"), "index", parent.alias("parent_index"), "begin", text))
-    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+        within = partial(_windows, width=width, overlap=overlap)
+        below = F.transform(f"_level{level - 1}", lambda w, i: within(w["begin"], w["n"], index=i))  # noqa: B023
+        tokens = tokens.withColumn(f"_level{level}", F.flatten(below))
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.col(f"_level{k}").alias("windows")) for k in range(3)))
+    rows = tokens.select(key, "_tokens", F.explode(levels).alias("_l")).select(key, "_tokens", "_l.level", F.posexplode("_l.windows").alias("index", "_w"))
+    cut = F.array_join(F.slice("_tokens", F.col("_w.begin") + 1, F.col("_w.n")), " ")
+    return rows.select(key, "level", "index", "_w.parent_index", "_w.begin", (F.col("_w.begin") + F.col("_w.n")).alias("end"), cut.alias(text))
 
 
 def chunk(df: DataFrame, kind: str = "sentence", size: int = SIZE, overlap: int = OVERLAP, text: str = "text", key: str = "doc_id", embed=None) -> DataFrame:
-    """By the name of the kind; an unknown one is cut by paragraphs, as is a semantic cut without an embedder."""
+    """By the name of the kind; an unknown one is cut by paragraphs, as are a semantic cut without an embedder and a hierarchical one whose overlap fills its smallest windows."""
     if kind == "token":
         return token_chunks(df, size, overlap, text)
     if kind == "sentence":
         return sentence_chunks(df, size, overlap, text)
-    if kind == "hierarchical":
-        return hierarchical_chunks(df, size, key, text)
+    if kind == "hierarchical" and overlap < max(1, size >> 2):
+        return hierarchical_chunks(df, size, overlap, key, text)
     if kind == "semantic" and embed is not None:
         from docspark.operators.semantic import semantic_chunks
 

@@ -39,7 +39,7 @@ def resolve(name: str | None) -> str:
     return name if name in EMBEDDERS else DEFAULT
 
 
-def embed_column(text: Column, model: str | None = None, batch: int = 16) -> Column:
+def embed_column(text: Column | str, model: str | None = None, batch: int = 16) -> Column:
     """array<float>: the model is made once for each batch of rows that Spark hands over, and fed `batch` texts at a time."""
     make = EMBEDDERS[resolve(model)][0]
 

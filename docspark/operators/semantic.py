@@ -21,12 +21,14 @@ def breakpoints(df: DataFrame, key: str, position: str, vector: str, percent: fl
 
 
 def semantic_chunks(df: DataFrame, embed: Column, key: str = "doc_id", text: str = "text", buffer: int = 1, percent: float = 0.95) -> DataFrame:
-    """(key, index, text): `embed` is a function of a column of texts; each sentence is embedded with `buffer` neighbours."""
-    said = df.select(key, sentences(text).alias("_s"))
-    rows = said.select(key, "_s", F.posexplode("_s").alias("position", "sentence"))
-    begin = F.greatest(F.col("position") - buffer, F.lit(0))
-    group = F.array_join(F.slice("_s", begin + 1, F.col("position") + buffer - begin + 1), " ")
-    rows = rows.select(key, "position", "sentence", embed(group).alias("vector"))
+    """(key, index, text): `embed` is a function of a column of texts; each sentence is embedded with `buffer` neighbours on each side.
+
+    Keys must be unique; a text without a sentence has no chunk.
+    """
+    rows = df.select(key, F.posexplode(sentences(text)).alias("position", "sentence"))
+    near = Window.partitionBy(key).orderBy("position").rowsBetween(-buffer, buffer)
+    rows = rows.withColumn("_group", F.array_join(F.collect_list("sentence").over(near), " "))
+    rows = rows.select(key, "position", "sentence", embed("_group").alias("vector"))
     cut = breakpoints(rows, key, "position", "vector", percent)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "sentence"))), lambda x: x["sentence"]), " ")
     return cut.groupBy(key, F.col("chunk").cast("int").alias("index")).agg(joined.alias(text))

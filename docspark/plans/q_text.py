@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.functions import chunks as C
+from docspark.functions import packing as P
 from docspark.functions import text as X
 from docspark.plans import tables as B
 from docspark.plans.catalog import query
@@ -186,14 +187,43 @@ def token_chunks(spark, sf):
     return C.token_chunks(docs(spark, sf).select("doc_id", "text"), 100, 20).select("doc_id", "index", "text")
 
 
-@query("chk3_sentence_chunks")
+def packed_sql(kind: str, text: str, size: int, overlap: int) -> str:
+    """Chunks by recursion: parts level by level, then from each chunk's first part the next one's."""
+    tokens = lambda words, chars: f"greatest({words}, ({chars}) // {P.TOKEN_CHARS})"
+    n_words = f"len(list_filter(regexp_split_to_array(p, '{WS}+'), lambda x: x <> ''))"
+    made, before = [f"level0 AS (SELECT doc_id, []::BIGINT[] AS place, regexp_replace(coalesce({text}, ''), '\\A{WS}+|{WS}+\\z', '', 'g') AS p FROM documents)"], "level0"
+    for k, level in enumerate([*P.LEVELS[kind], "chars"]):
+        if level == "chars":
+            cut = f"list_transform(range(0, length(p), {size * P.TOKEN_CHARS}), lambda i: substr(p, CAST(i + 1 AS BIGINT), {size * P.TOKEN_CHARS}))"
+        else:
+            ends = P.ENDS[level].replace("\\s", WS).replace("\n", "\\n")
+            cut = f"list_filter(regexp_extract_all(p, '(?s).*?(?:{ends}|\\z)'), lambda x: x <> '')"
+        if k:
+            cut = f"CASE WHEN {tokens(n_words, 'length(p)')} <= {size} THEN [p] ELSE {cut} END"
+        made.append(f"level{k + 1} AS (SELECT doc_id, list_append(place, i) AS place, p FROM (SELECT doc_id, place, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM (SELECT doc_id, place, {cut} AS ps FROM {before})))")
+        before = f"level{k + 1}"
+    fits = lambda a, b, most: f"({tokens(f'pw[{b} + 1] - pw[{a}]', f'pc[{b} + 1] - pc[{a}]')} <= {most})"
+    end = lambda a: f"greatest({a}, len(list_filter(range(1, n + 1), lambda j: {fits(a, 'j', size)})))"
+    return f"""WITH RECURSIVE {", ".join(made)},
+      parts AS (SELECT doc_id, place, p, sum({n_words}) OVER w AS w, sum(length(p)) OVER w AS c FROM {before} WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+      whole AS (SELECT doc_id, list(p ORDER BY place) AS ps, list_prepend(0, list(CAST(w AS BIGINT) ORDER BY place)) AS pw, list_prepend(0, list(CAST(c AS BIGINT) ORDER BY place)) AS pc, count(*) AS n FROM parts GROUP BY doc_id),
+      chunk(doc_id, a, b) AS (
+        SELECT doc_id, CAST(1 AS BIGINT), CAST({end("1")} AS BIGINT) FROM whole
+        UNION ALL
+        SELECT doc_id, CAST(k AS BIGINT), CAST({end("k")} AS BIGINT) FROM (
+          SELECT whole.*, coalesce(list_min(list_filter(range(a + 1, b + 1), lambda k: {fits("k", "b", overlap)} AND {fits("k", "b + 1", size)})), b + 1) AS k FROM chunk JOIN whole USING (doc_id) WHERE b < n))
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS index, text FROM (
+        SELECT doc_id, a, regexp_replace(array_to_string(ps[a:b], ''), '\\A{WS}+|{WS}+\\z', '', 'g') AS text FROM chunk JOIN whole USING (doc_id)) WHERE text <> ''"""
+
+
+@query("chk3_sentence_chunks", packed_sql("sentence", "text", 100, 20))
 def sentence_chunks(spark, sf):
-    return C.sentence_chunks(docs(spark, sf).select("doc_id", "text"), 1000, 200)
+    return C.sentence_chunks(docs(spark, sf).select("doc_id", "text"), 100, 20)
 
 
-@query("chk4_paragraph_chunks")
+@query("chk4_paragraph_chunks", packed_sql("paragraph", "replace(text, chr(10), chr(10) || chr(10))", 100, 20))
 def paragraph_chunks(spark, sf):
-    return C.paragraph_chunks(docs(spark, sf).select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text")), 1000, 200)
+    return C.paragraph_chunks(docs(spark, sf).select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text")), 100, 20)
 
 
 @query("chk5_semantic_chunks")
@@ -204,14 +234,22 @@ def semantic_chunks(spark, sf):
     return cut(docs(spark, sf).select("doc_id", "text"), embed_column)
 
 
+def windows_sql(width: int, n: str) -> str:
+    """The begins of overlapping windows over n tokens, 20 of them shared."""
+    return f"range(0, CAST(greatest(1, ceil(({n} - 20) / {width - 20}.0)) AS BIGINT))"
+
+
 @query(
     "chk6_hierarchical_chunks",
-    f"""SELECT doc_id, CAST(level AS INTEGER) AS level, CAST(i AS INTEGER) AS index, CASE WHEN level > 0 THEN CAST(i * size // (size * 2) AS INTEGER) END AS parent_index, array_to_string(w[i * size + 1 : i * size + size], ' ') AS text
-        FROM (SELECT doc_id, w, level, 200 >> level AS size, unnest(range(0, CAST(greatest(1, ceil(len(w) / CAST(200 >> level AS DOUBLE))) AS BIGINT))) AS i
-              FROM (SELECT doc_id, {WORDS} AS w FROM documents), (VALUES (0), (1), (2)) l(level) WHERE len(w) > 0)""",
+    f"""WITH given AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        l0 AS (SELECT doc_id, i AS index, NULL AS parent, i * 180 AS b, least(200, n - i * 180) AS n FROM (SELECT doc_id, len(w) AS n, unnest({windows_sql(200, "len(w)")}) AS i FROM given WHERE len(w) > 0)),
+        l1 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY index, i) - 1 AS index, index AS parent, b + i * 80 AS b, least(100, n - i * 80) AS n FROM (SELECT *, unnest({windows_sql(100, "n")}) AS i FROM l0)),
+        l2 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY index, i) - 1 AS index, index AS parent, b + i * 30 AS b, least(50, n - i * 30) AS n FROM (SELECT *, unnest({windows_sql(50, "n")}) AS i FROM l1))
+        SELECT doc_id, level, CAST(index AS INTEGER) AS index, CAST(parent AS INTEGER) AS parent_index, CAST(b AS INTEGER) AS begin, CAST(b + n AS INTEGER) AS "end", array_to_string(w[b + 1 : b + n], ' ') AS text
+        FROM (SELECT 0 AS level, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2) JOIN given USING (doc_id)""",
 )
 def hierarchical_chunks(spark, sf):
-    return C.hierarchical_chunks(docs(spark, sf), 200).select("doc_id", "level", "index", "parent_index", "text")
+    return C.hierarchical_chunks(docs(spark, sf), 200, 20)
 
 
 @query(

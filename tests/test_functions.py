@@ -85,12 +85,20 @@ def test_chunks(spark):
     tokens = text.split()
     got = [r.text for r in C.token_chunks(df, 20, 5).orderBy("index").collect()]
     assert got == [" ".join(tokens[i : i + 20]) for i in range(0, max(1, len(tokens) - 5), 15)]
-    parts = C.sentence_chunks(df, 100, 30).orderBy("index").collect()
-    assert all(len(r.text) <= 100 for r in parts) and {r.doc_id for r in parts} == {1}
+    parts = C.sentence_chunks(df, 20, 6).orderBy("index").collect()
+    assert all(max(len(r.text.split()), len(r.text) // 4) <= 20 for r in parts) and {r.doc_id for r in parts} == {1}
     assert set(" ".join(r.text for r in parts).split()) == set(tokens)
-    assert [r.text for r in C.paragraph_chunks(df, 30, 0).collect()][-1] == "New paragraph here."
-    levels = C.hierarchical_chunks(df, 40).collect()
-    assert {r.level for r in levels} == {0, 1, 2} and all(r.parent_index == r["index"] // 2 for r in levels if r.level)
+    assert [r.text for r in C.paragraph_chunks(df, 30, 0).collect()][-1].endswith("\n\nNew paragraph here.")
+    levels = C.hierarchical_chunks(df, 40, 4).collect()
+    by_level = {(r.level, r["index"]): r for r in levels}
+    assert {r.level for r in levels} == {0, 1, 2}
+    for r in levels:
+        assert r.text == " ".join(tokens[r.begin : r.end]) and r.end - r.begin <= 40 >> r.level
+        if r.level:
+            above = by_level[r.level - 1, r.parent_index]
+            assert above.begin <= r.begin < r.end <= above.end
+    for level in range(3):
+        assert {i for r in levels if r.level == level for i in range(r.begin, r.end)} == set(range(len(tokens)))
     for size, overlap in ((0, 0), (10, 10), (10, -1)):
         with pytest.raises(ValueError):
             C.token_chunks(df, size, overlap)
