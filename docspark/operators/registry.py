@@ -169,14 +169,6 @@ def allowed_change(old: Column, new: Column) -> Column:
     return ok
 
 
-def merge_metadata(df: DataFrame, key: str, order: str, metadata: str) -> DataFrame:
-    """One map for each key from maps in order: the first value that is not empty stays, unless a later one contains it."""
-    by_order = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(metadata).alias("m"))), by_order), lambda x: x["m"])
-    merge = lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.when(F.coalesce(x, F.lit("")) == "", y).when(F.contains(F.coalesce(y, F.lit("")), x), y).otherwise(x))
-    return df.groupBy(key).agg(F.aggregate(ordered, F.create_map().cast("map<string,string>"), merge).alias(metadata))
-
-
 def union_metadata(a: Column, b: Column) -> Column:
     """Both maps; of a key that both have, the later value."""
     return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)

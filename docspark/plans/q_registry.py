@@ -9,6 +9,7 @@ from docspark.functions import text as X
 from docspark.functions import vector as V
 from docspark.operators import registry as R
 from docspark.operators import tasks as K
+from docspark.operators.metadata import merge_metadata as merge_nested
 from docspark.plans import tables as B
 from docspark.plans.catalog import query
 
@@ -230,14 +231,26 @@ def vector_summary(spark, sf):
 
 @query(
     "agg13_merge_metadata",
-    "SELECT household, first(c_name ORDER BY c_custkey) AS name, coalesce(first(c_mktsegment ORDER BY c_custkey) FILTER (c_custkey % 2 = 0), '') AS segment FROM (SELECT *, c_custkey // 4 AS household FROM customer) GROUP BY household",
+    """WITH m AS (SELECT c_custkey // 4 AS household, c_custkey AS k, c_name, c_mktsegment AS segment, c_nationkey AS nation, c_acctbal AS money FROM customer),
+       n AS (SELECT household, nation, min(k) AS k FROM m GROUP BY ALL)
+       SELECT household, first(c_name ORDER BY k) AS name, coalesce(first(segment ORDER BY k) FILTER (k % 2 = 0), '') AS segment,
+              (SELECT list('n' || nation ORDER BY n.k) FROM n WHERE n.household = m.household) AS tags,
+              CASE WHEN count(*) FILTER (k % 4 IN (2, 3)) > 0 THEN 'household of many' ELSE 'household' END AS kind,
+              first(money ORDER BY k) FILTER (money <> 0) AS first_money, max_by(k, k) FILTER (k % 4 = 3) AS fourth, list_sort(list(DISTINCT k % 4)) AS places
+       FROM m GROUP BY household""",
 )
 def merge_metadata(spark, sf):
-    """Of four customers each: the first name; the first segment that is not empty."""
-    m = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(""))
-    rows = B.read(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 4).alias("household"), "c_custkey", m.alias("metadata"))
-    merged = R.merge_metadata(rows, "household", "c_custkey", "metadata")
-    return merged.select("household", F.col("metadata")["name"].alias("name"), F.col("metadata")["segment"].alias("segment"))
+    """Of four customers each: the first name and segment, a union of tags, a text that a later one contains, and a nested object with values of its own."""
+    k = F.col("c_custkey")
+    given = F.to_json(F.struct(
+        F.col("c_name").alias("name"), F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("segment"), F.array(F.concat(F.lit("n"), "c_nationkey")).alias("tags"),
+        F.struct(F.when(k % 4 >= 2, "household of many").otherwise("household").alias("kind"), F.col("c_acctbal").alias("money"), F.when(k % 4 == 3, k).alias("fourth"), F.array(k % 4).alias("places")).alias("more"),
+    ))
+    rows = B.read(spark, sf, "customer").select(F.floor(k / 4).alias("household"), "c_custkey", given.alias("metadata"))
+    merged = merge_nested(rows, "household", "c_custkey", "metadata")
+    m = F.from_json("metadata", "name string, segment string, tags array<string>, more struct<kind: string, money: double, fourth: bigint, places: array<bigint>>")
+    merged = merged.select("household", m.alias("m"))
+    return merged.select("household", "m.name", "m.segment", "m.tags", "m.more.kind", F.col("m.more.money").alias("first_money"), "m.more.fourth", F.sort_array("m.more.places").alias("places"))
 
 
 @query("agg14_union_metadata", "SELECT vec_id AS id, 'label-' || label AS label, 'new' AS parity, 'x' AS extra FROM embeddings")

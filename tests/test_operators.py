@@ -1,5 +1,6 @@
 """Operators on small tables with known results."""
 
+import json
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from docspark.operators import registry as R
 from docspark.operators import search as S
 from docspark.operators import tasks as K
 from docspark.operators.embed import embed, resolve
+from docspark.operators.metadata import merge_metadata
 from docspark.sources import files
 
 
@@ -39,7 +41,7 @@ def test_registry(spark):
 def test_metadata(spark):
     rows = [(1, 1, {"title": "标题", "pages": "5"}), (1, 2, {"title": "完整标题", "pages": "10"}), (2, 1, {"title": ""}), (2, 2, {"title": "x"})]
     df = spark.createDataFrame(rows, "k int, o int, m map<string,string>")
-    assert {r.k: r.m for r in R.merge_metadata(df, "k", "o", "m").collect()} == {1: {"title": "完整标题", "pages": "5"}, 2: {"title": "x"}}
+    assert {r.k: json.loads(r.m) for r in merge_metadata(df, "k", "o", "m").collect()} == {1: {"title": "完整标题", "pages": "5"}, 2: {"title": "x"}}
 
 
 def test_search_filters(spark):
