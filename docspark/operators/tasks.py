@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.operators.registry import STAGE_PROGRESS, allowed_change
+from docspark.operators.registry import STAGE_PROGRESS, TRANSITIONS, allowed_change
 
 STATUSES = ("pending", "processing", "completed", "failed")
 TYPES = ("parse", "chunk", "vectorize", "process_complete")
@@ -87,6 +91,48 @@ def transitions(events: DataFrame) -> DataFrame:
     return moved.select("event_id", "document_id", "old", "new", allowed_change(F.col("old"), F.col("new")).alias("allowed"))
 
 
+CHANGES = "event_id bigint, document_id string, old string, new string, allowed boolean"
+
+
+def follow(status: str, events: list[tuple[int, str]]) -> tuple[list[tuple[int, str, str, bool]], str]:
+    """(event_id, old, new, allowed) of the changes that these events ask for, and the status after them."""
+    changed = []
+    for event_id, new in events:
+        if new != status:
+            allowed = new in TRANSITIONS[status]
+            changed.append((event_id, status, new, allowed))
+            if allowed:
+                status = new
+    return changed, status
+
+
+def document_changes(events: DataFrame) -> DataFrame:
+    """The status changes of each document, beginning with uploaded: one that isn't allowed leaves the status as it is.
+
+    (event_id, document_id, old, new, allowed) in the order of (ts, event_id);
+    repeated events and repeated statuses give no row.  A document's events pass in
+    order and only its status is held, so no document is too large.
+    """
+    moved = events.filter(valid(events) & document_status(F.col("status")).isNotNull() & F.col("ts").isNotNull())
+    moved = moved.select("document_id", "ts", "event_id", "status").dropDuplicates(["event_id"])
+    moved = moved.repartition("document_id").sortWithinPartitions("document_id", "ts", "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, status = None, None
+        for batch in batches:
+            names, ids, new = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            rows = []
+            for name, some in groupby(zip(names, ids, new, strict=True), key=lambda r: r[0]):
+                if name != document:
+                    document, status = name, "uploaded"
+                changed, status = follow(status, [r[1:] for r in some])
+                rows += [(i, document, *rest) for i, *rest in changed]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.string()] * 3, pa.bool_()], strict=True)], names=["event_id", "document_id", "old", "new", "allowed"])
+
+    return moved.mapInArrow(run, CHANGES)
+
+
 def outcome(result: Column) -> Column:
     """failed with an error; completed if parsing and chunking are, even where vectors failed; else no change."""
     return F.when(F.coalesce(result["error"], F.lit("")) != "", "failed").when((result["parse_status"] == "completed") & (result["chunk_status"] == "completed"), "completed")
@@ -112,6 +158,27 @@ def eligible(tasks: DataFrame, max_retries: int = 3) -> DataFrame:
     return tasks.filter((F.col("status") == "failed") & (F.col("failures") < max_retries))
 
 
+def retries(events: DataFrame, max_retries: int = 3) -> DataFrame:
+    """(task_id, document_id, type, attempt): a row for each failure after which a task is tried again, attempts from 1."""
+    failed = events.filter("status = 'failed'").dropDuplicates(["event_id"])
+    counted = failed.groupBy("task_id").agg(F.min_by(F.struct("document_id", "type"), F.struct("ts", "event_id")).alias("first"), F.count("*").alias("n"))
+    tried = F.least(F.col("n"), F.lit(max_retries - 1))
+    return counted.filter(tried > 0).select("task_id", "first.*", F.explode(F.sequence(F.lit(1).cast("bigint"), tried)).alias("attempt"))
+
+
+def remembered(events: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """(task_id, status, failures, events, expired): tasks whose state is forgotten after so many days without an event, as of `now`.
+
+    Only what came after a task's last such gap counts.
+    """
+    w = Window.partitionBy("task_id").orderBy("ts", "event_id")
+    gap = F.col("ts") - F.lag("ts").over(w) > F.make_dt_interval(F.lit(days))
+    rows = events.withColumn("life", F.count_if(gap).over(w))
+    lives = rows.groupBy("task_id", "life").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.count_if(F.col("status") == "failed").alias("failures"), F.count("*").alias("events"), F.max("ts").alias("last"))
+    last = lives.groupBy("task_id").agg(F.max_by(F.struct("status", "failures", "events", "last"), "life").alias("s"))
+    return last.select("task_id", "s.status", "s.failures", "s.events", (F.col("s.last") + F.make_dt_interval(F.lit(days)) < now).alias("expired"))
+
+
 def sweep(tasks: DataFrame, now: Column, days: int = 7) -> tuple[DataFrame, DataFrame]:
     """Tasks that are kept, and those whose last change is too long ago."""
     old = F.col("updated_at") < now - F.make_dt_interval(F.lit(days))

@@ -1,29 +1,6 @@
 """All registered queries of the library's own operators, by the ids of the operator inventory."""
 
-from __future__ import annotations
+from docspark.plans import q_chat, q_rag, q_registry, q_sources, q_tasks, q_text, q_vector  # noqa: F401
+from docspark.plans.register import QUERIES, SQL, query
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function of (spark, sf_dir) and its SQL."""
-
-    def add(f: Query) -> Query:
-        if name in QUERIES:
-            raise ValueError(f"two queries called {name}")
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-from docspark.plans import q_chat, q_rag, q_registry, q_tasks, q_text, q_vector  # noqa: E402, F401, I001
-from docspark.plans import q_sources  # noqa: E402, F401
+__all__ = ["QUERIES", "SQL", "query"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docspark.operators import chat as H
 from docspark.operators import registry as R
 from docspark.plans import tables as B
-from docspark.plans.catalog import query
+from docspark.plans.register import query
 
 FIRST_WORD = "regexp_extract(content, '^[^ ]+')"
 

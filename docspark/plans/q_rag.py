@@ -8,7 +8,7 @@ from docspark.functions import text as X
 from docspark.operators import rag as G
 from docspark.operators import search as S
 from docspark.plans import tables as B
-from docspark.plans.catalog import query
+from docspark.plans.register import query
 from docspark.plans.q_vector import RANKED, SCORED, questions
 
 HITS = f"{SCORED}, ranked AS ({RANKED} WHERE score >= -1), hits AS (SELECT r.*, c.text, c.file_id, c.position FROM ranked r JOIN chunks c USING (id) WHERE rank <= 8)"

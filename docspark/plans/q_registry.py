@@ -11,7 +11,7 @@ from docspark.operators import registry as R
 from docspark.operators import tasks as K
 from docspark.operators.metadata import merge_metadata as merge_nested
 from docspark.plans import tables as B
-from docspark.plans.catalog import query
+from docspark.plans.register import query
 
 def now():
     return F.lit(B.NOW).cast("timestamp")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
 from docspark.operators import registry as R
+from docspark.plans import q_tasks  # noqa: F401  (its SQL is that of the streams)
 from docspark.plans import tables as B
-from docspark.plans.catalog import SQL, query
+from docspark.plans.register import SQL, query
 from docspark.plans.q_text import CLEAN
 from docspark.sources import files as S
 
@@ -115,20 +117,62 @@ def incremental(spark, sf):
     return spark.read.parquet(f"{path}/out")
 
 
+def arrivals(spark, sf, name: str, *order: str):
+    """The events table as a stream whose events all come twice, then a heartbeat three days after the last; how many days they span; a folder."""
+    from docspark.streaming import tasks as T
+
+    path = folder(spark, name)
+    e = B.task_events(spark, sf)
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    e.unionByName(e).repartitionByRange(*order).write.parquet(f"{path}/in")
+    beat = e.limit(1).select(*(F.lit(last + timedelta(days=3) if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in e.schema))
+    beat.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return T.read_events(spark, f"{path}/in", e.schema, files=1_000_000), (last - first).days + 1, path
+
+
 @query("str2_stream_state", SQL["str2_task_state"])
 def stream_state(spark, sf):
-    """The events table as a stream; the last state of each task, as str2_task_state gives it."""
+    """The events table as a stream that brings each event twice; the last state of each task, as str2_task_state gives it."""
     from docspark.streaming import tasks as T
 
-    path = folder(spark, "state")
-    e = B.task_events(spark, sf)
-    e.filter("status <> 'signup'").repartitionByRange("ts").write.parquet(f"{path}/in")
-    stream = T.keyed_state(T.read_events(spark, f"{path}/in", e.schema))
+    events, days, path = arrivals(spark, sf, "state", "ts")
+    stream = T.keyed_state(T.split(events)[0], within=f"{days} days")
     last = T.last_counts(stream, ["task_id"], f"{path}/out", f"{path}/checkpoint")
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return last.select("task_id", "status", at("started_at"), at("completed_at"), "result", "failures", "events")
 
 
+@query("str3_stream_changes", SQL["str3_changes"])
+def stream_changes(spark, sf):
+    """The same as a stream, with events that come in no order and twice."""
+    from docspark.streaming import tasks as T
+
+    events, days, path = arrivals(spark, sf, "changes", "value")
+    # All wait until the heartbeat, three days after the last event, has passed them.
+    T.run_to_end(T.document_changes(events, "1 day"), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("str8_stream_remembered", SQL["str8_remembered"])
+def stream_remembered(spark, sf):
+    """The state of tasks with a lifetime of a week, as of the heartbeat."""
+    from docspark.streaming import tasks as T
+
+    events, days, path = arrivals(spark, sf, "remembered", "ts")
+    stream = T.keyed_state(events, expire_days=7, within="1 minute")
+    return T.last_counts(stream, ["task_id"], f"{path}/out", f"{path}/checkpoint").select("task_id", "status", "failures", "events", "expired")
+
+
+@query("str10_stream_retries", SQL["str10_retries"])
+def stream_retries(spark, sf):
+    """Failed tasks that are tried again, at most twice each, with failures that come twice."""
+    from docspark.streaming import tasks as T
+
+    events, days, path = arrivals(spark, sf, "retries", "ts")
+    T.run_to_end(T.retries(T.split(events)[0], within=f"{days} days"), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out")
+
+
 @query("str11_stream_buckets", SQL["str11_buckets"])
 def stream_buckets(spark, sf):
     """Counts per hour and status by a stream, for all events: a table's files come in any order and its last hours count too."""
@@ -136,6 +180,6 @@ def stream_buckets(spark, sf):
 
     path = folder(spark, "buckets")
     e = B.task_events(spark, sf)
-    e.filter("status <> 'signup'").repartitionByRange("ts").write.parquet(f"{path}/in")
-    counts = T.per_bucket(T.read_events(spark, f"{path}/in", e.schema), late=None)
+    e.repartitionByRange("ts").write.parquet(f"{path}/in")
+    counts = T.per_bucket(T.split(T.read_events(spark, f"{path}/in", e.schema))[0], late=None)
     return T.last_counts(counts, ["bucket", "status"], f"{path}/out", f"{path}/checkpoint").select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "status", "n")

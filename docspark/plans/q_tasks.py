@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from docspark.operators import tasks as K
 from docspark.plans import tables as B
-from docspark.plans.catalog import query
+from docspark.plans.register import query
 
 STAMP = "'%Y-%m-%d %H:%M:%S'"
 
@@ -57,6 +59,24 @@ def transitions(spark, sf):
     return K.transitions(events(spark, sf))
 
 
+CHANGES_SQL = ev(
+    """SELECT event_id, document_id, old, new, new IN (CASE old WHEN 'uploaded' THEN 'processing' WHEN 'failed' THEN 'processing' END, CASE WHEN old IN ('uploaded', 'processing') THEN 'completed' END, CASE WHEN old IN ('uploaded', 'processing') THEN 'failed' END) IS TRUE AS allowed
+       FROM (SELECT document_id, e.event_id, e.new, b.status AS old FROM followed AS b JOIN numbered AS e USING (document_id) WHERE e.k = b.k + 1) WHERE old <> new""",
+    VALID,
+    "numbered AS (SELECT document_id, event_id, status AS new, row_number() OVER (PARTITION BY document_id ORDER BY ts, event_id) AS k FROM valid WHERE status <> 'pending')",
+    """followed(document_id, k, status) AS (
+         SELECT DISTINCT document_id, CAST(0 AS BIGINT), 'uploaded' FROM numbered
+         UNION ALL SELECT f.document_id, e.k, CASE WHEN f.status = 'uploaded' OR (f.status = 'processing' AND e.new IN ('completed', 'failed')) OR (f.status = 'failed' AND e.new = 'processing') THEN e.new ELSE f.status END
+         FROM followed f JOIN numbered e ON e.document_id = f.document_id AND e.k = f.k + 1)""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("str3_changes", CHANGES_SQL)
+def document_changes(spark, sf):
+    """Each document as a machine: refused changes leave its status."""
+    return K.document_changes(B.task_events(spark, sf))
+
+
 @query("str4_document_states", ev("SELECT document_id, max_by(status, {'a': ts, 'b': event_id}) AS status FROM valid WHERE status <> 'pending' GROUP BY document_id", VALID))
 def document_states(spark, sf):
     return K.document_states(events(spark, sf))
@@ -98,6 +118,30 @@ def retention(spark, sf):
     return kept.select("task_id", F.lit(False).alias("swept")).unionByName(gone.select("task_id", F.lit(True).alias("swept")))
 
 
+REMEMBERED_SQL = ev(
+    """SELECT task_id, max_by(status, {'a': ts, 'b': event_id}) AS status, count(*) FILTER (status = 'failed') AS failures, count(*) AS events, max(ts) + INTERVAL 7 DAY < (SELECT max(ts) FROM task_events) + INTERVAL 3 DAY AS expired
+       FROM (SELECT *, max(life) OVER (PARTITION BY task_id) AS newest FROM lives) WHERE life = newest GROUP BY task_id""",
+    VALID,
+    "lives AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY task_id ORDER BY ts, event_id) AS life FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY task_id ORDER BY ts, event_id) > INTERVAL 7 DAY AS gap FROM valid))",
+)
+
+
+@query("str8_remembered", REMEMBERED_SQL)
+def remembered(spark, sf):
+    """The state of tasks that is forgotten after a week without an event, three days after the newest event."""
+    e = B.task_events(spark, sf)
+    now = e.agg(F.max("ts")).first()[0] + timedelta(days=3)
+    return K.remembered(events(spark, sf), F.lit(now))
+
+
+RETRIES_SQL = ev("SELECT task_id, document_id, type, unnest(range(1, least(n, 2) + 1)) AS attempt FROM (SELECT task_id, min_by(document_id, {'a': ts, 'b': event_id}) AS document_id, min_by(type, {'a': ts, 'b': event_id}) AS type, count(*) AS n FROM valid WHERE status = 'failed' GROUP BY task_id)", VALID)
+
+
+@query("str10_retries", RETRIES_SQL)
+def retries(spark, sf):
+    return K.retries(events(spark, sf))
+
+
 @query("str10_eligible", ev("SELECT task_id, failures FROM (SELECT task_id, max_by(status, {'a': ts, 'b': event_id}) AS status, count(*) FILTER (status = 'failed') AS failures FROM valid GROUP BY task_id) WHERE status = 'failed' AND failures < 15", VALID))
 def eligible(spark, sf):
     return K.eligible(K.state(events(spark, sf)), 15).select("task_id", "failures")

@@ -8,7 +8,7 @@ from docspark.functions import chunks as C
 from docspark.functions import packing as P
 from docspark.functions import text as X
 from docspark.plans import tables as B
-from docspark.plans.catalog import query
+from docspark.plans.register import query
 
 WS, HWS = X.WS, X.LINE_WS
 CLEAN = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\n{{3,}}', chr(10) || chr(10), 'g'),

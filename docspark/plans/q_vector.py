@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docspark.functions import vector as V
 from docspark.operators import search as S
 from docspark.plans import tables as B
-from docspark.plans.catalog import query
+from docspark.plans.register import query
 
 DOT = "list_inner_product(a.v, b.v)"
 NORM = "sqrt(list_inner_product({0}, {0}))"
