@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.frames import local_uri, shared_folder
-from docspark.llm.tokens import Encoder, encoder
+from docspark.llm.tokens import Encoder, encoder, forget
 from docspark.llm.words import slices
 
 MANIFEST = "part int, file string, documents bigint, ids bigint"
@@ -154,6 +154,7 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
         before += ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         system, top = _open(folder)
         for batch in batches:
             for name, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -230,6 +231,7 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_records(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             values, offsets = batch.column(2).values.to_numpy().astype("<u4"), batch.column(2).offsets.to_numpy()
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

@@ -131,3 +131,8 @@ def encoder(key: tuple, make: Callable[[], Encoder]) -> Encoder:
         _ENCODERS.clear()
         _ENCODERS[key] = make()
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Frees this worker's encoder, before work that needs none: Spark may give the next encoding to another worker."""
+    _ENCODERS.clear()
