@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import text as X
 from docspark.operators import registry as R
-from docspark.plans import q_tasks  # noqa: F401  (its SQL is that of the streams)
+from docspark.plans import q_tasks
 from docspark.plans import tables as B
 from docspark.plans.register import SQL, query
 from docspark.plans.q_text import CLEAN
@@ -173,6 +173,18 @@ def stream_retries(spark, sf):
     return spark.read.parquet(f"{path}/out")
 
 
+@query("str6_stream_next_stages", SQL["str6_next_stages"])
+def stream_next_stages(spark, sf):
+    """The same as a stream that writes each batch's rows below the batch's number; a batch that runs twice replaces itself."""
+    from docspark.streaming import tasks as T
+
+    path = folder(spark, "stages")
+    done = q_tasks.finished(spark, sf)
+    done.write.parquet(f"{path}/in")
+    T.fan_out(spark.readStream.schema(done.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return q_tasks.shown(spark.read.parquet(f"{path}/out"))
+
+
 @query("str11_stream_buckets", SQL["str11_buckets"])
 def stream_buckets(spark, sf):
     """Counts per hour and status by a stream, for all events: a table's files come in any order and its last hours count too."""

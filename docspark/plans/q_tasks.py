@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import tasks as K
 from docspark.plans import tables as B
+from docspark.plans.q_text import packed_sql
 from docspark.plans.register import query
 
 STAMP = "'%Y-%m-%d %H:%M:%S'"
@@ -165,14 +166,31 @@ def session_gaps(spark, sf):
     return K.gaps(events(spark, sf), "6 hours").select("task_id", stamp("begin"), "n")
 
 
-@query("str6_next_stages")
+NEXT_SQL = f"""SELECT 'chunk' AS type, CAST(doc_id AS VARCHAR) AS document_id, index, text, 0 AS dimension FROM ({packed_sql("paragraph", "text", 1000, 200)}) WHERE doc_id % 4 = 0
+  UNION ALL SELECT 'vectorize', CAST(doc_id AS VARCHAR), i, s, 64 FROM (SELECT doc_id, unnest([0, 1]) AS i, unnest([text, ' ']) AS s FROM documents WHERE doc_id % 4 = 1) WHERE trim(s, chr(9) || chr(10) || ' ') <> ''
+  UNION ALL SELECT CASE doc_id % 4 WHEN 2 THEN 'vectorize' ELSE 'process_complete' END, CAST(doc_id AS VARCHAR), NULL, 'as it came', 0 FROM documents WHERE doc_id % 4 IN (2, 3)"""
+
+
+def finished(spark, sf):
+    """The documents as results of completed tasks of all types, some with a failed twin."""
+    d, k = B.read(spark, sf, "documents"), F.col("doc_id") % 4
+    kind = F.element_at(F.array(*map(F.lit, K.TYPES)), (k + 1).cast("int"))
+    chunks = F.to_json(F.struct(F.array(F.struct(F.col("text"), F.lit(0).alias("index")), F.struct(F.lit(" ").alias("text"), F.lit(1).alias("index"))).alias("chunks")))
+    result = F.when(k == 0, F.to_json(F.struct(F.col("text").alias("content")))).when(k == 1, chunks).otherwise("as it came")
+    done = d.select(F.col("doc_id").cast("string").alias("document_id"), kind.alias("type"), F.lit("completed").alias("status"), result.alias("result"))
+    return done.unionByName(done.filter("document_id LIKE '%7'").withColumn("status", F.lit("failed")))
+
+
+def shown(follow_ups):
+    return follow_ups.select("type", "document_id", "index", "text", F.greatest(F.coalesce(F.size("vector"), F.lit(0)), F.lit(0)).alias("dimension"))
+
+
+@query("str6_next_stages", NEXT_SQL)
 def next_stages(spark, sf):
-    """The chunks that follow from parsed documents."""
+    """What follows from completed tasks of every type: chunks, vectors, and the rest by the default handler."""
     from docspark.streaming.tasks import next_stages as follow
 
-    d = B.read(spark, sf, "documents")
-    batch = d.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("parse").alias("type"), F.lit("completed").alias("status"), F.to_json(F.struct(F.col("text").alias("content"))).alias("result"))
-    return follow(batch)["chunk"]
+    return shown(follow(finished(spark, sf)))
 
 
 @query("win5_breakpoints", f"WITH {B.CHUNKS}, d AS (SELECT file_id, id, CASE WHEN lag(vector) OVER w IS NOT NULL THEN round(1 - least(1, greatest(-1, list_cosine_similarity(vector, lag(vector) OVER w))), 6) END AS distance FROM chunks WINDOW w AS (PARTITION BY file_id ORDER BY id)), l AS (SELECT file_id, quantile_cont(distance, 0.95) AS q FROM d GROUP BY file_id) SELECT file_id, id, distance, CAST(sum(CASE WHEN distance > q THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY id) AS BIGINT) AS chunk FROM d JOIN l USING (file_id)")

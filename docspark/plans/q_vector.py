@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docspark.functions import text as X
 from docspark.functions import vector as V
 from docspark.operators import search as S
 from docspark.plans import tables as B
@@ -157,21 +158,60 @@ def blocked(spark, sf):
     return S.top_k(B.chunks(spark, sf), questions(spark, sf), k=10, min_score=-1.0)
 
 
-@query("vec10_text_similarity")
+WHITE = X.WS
+HALVES = "halves AS (SELECT doc_id, unnest([0, 1]) AS i, unnest([substr(text, 1, length(text) // 2), substr(text, length(text) // 2 + 1)]) AS s FROM documents)"
+#: Each text's words at the places that their hashes give.
+PLACED = f"""words AS (SELECT doc_id, i, unnest(list_filter(regexp_split_to_array(lower(substr(s, 1, 8192)), '{WHITE}+'), lambda x: x <> '')) AS word FROM halves),
+  hashes AS (SELECT word, {B.crc32_sql("word")} AS h FROM (SELECT DISTINCT word FROM words)),
+  placed AS (SELECT doc_id, i, (h >> 1) % 64 AS place, sum(1 - 2 * (h & 1)) AS v FROM words JOIN hashes USING (word) GROUP BY ALL)"""
+
+
+def halves(spark, sf):
+    d = B.read(spark, sf, "documents").select("doc_id", "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    return d.select("doc_id", F.substring(F.col("text"), F.lit(1), half).alias("a"), F.substring(F.col("text"), half + 1, F.length("text")).alias("b"))
+
+
+@query(
+    "vec10_text_similarity",
+    f"""WITH {HALVES}, {PLACED.replace("substr(s, 1, 8192)", "s")}, pairs AS (
+          SELECT a.doc_id, sum(CASE WHEN a.i = 0 AND b.i = 1 THEN a.v * b.v END) AS ab, sum(CASE WHEN a.i = 0 AND b.i = 0 THEN a.v * a.v END) AS aa, sum(CASE WHEN a.i = 1 AND b.i = 1 THEN b.v * b.v END) AS bb
+          FROM placed AS a JOIN placed AS b USING (doc_id, place) GROUP BY a.doc_id)
+        SELECT doc_id, round(greatest(0, least(1, CASE WHEN coalesce(aa, 0) = 0 OR coalesce(bb, 0) = 0 THEN 0 ELSE coalesce(ab, 0) / sqrt(aa::DOUBLE * bb) END)), 4) AS similarity FROM (SELECT doc_id FROM documents) LEFT JOIN pairs USING (doc_id)""",
+)
 def text_similarity(spark, sf):
-    """Of each document's first and second half, by the default embedder."""
+    """Of each document's first and second half, by counted words."""
     from docspark.operators.embed import embed_column
 
-    d = B.read(spark, sf, "documents").select("doc_id", "text")
-    half = (F.length("text") / 2).cast("int")
-    first, second = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
-    both = d.select("doc_id", embed_column(first).alias("a"), embed_column(second).alias("b"))
-    return both.select("doc_id", F.round(V.cosine_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    both = halves(spark, sf).select("doc_id", embed_column("a", "counted-64").alias("a"), embed_column("b", "counted-64").alias("b"))
+    return both.select("doc_id", F.round(V.cosine_similarity(F.col("a"), F.col("b")), 4).alias("similarity"))
 
 
-@query("udf1_udf2_udf6_embed")
+@query(
+    "udf1_udf2_udf6_embed",
+    f"""WITH {HALVES}, {PLACED}, whole AS (SELECT doc_id FROM halves GROUP BY doc_id HAVING bool_and(regexp_matches(s, '[^{WHITE[1:-1]}]'))),
+        vectors AS (SELECT doc_id, i, map_from_entries(list((place, v))) AS m FROM placed GROUP BY doc_id, i)
+        SELECT doc_id, 2 AS count, 64 AS dimension, 'counted-64' AS model, FALSE AS normalised, i AS index, CAST(length(s) AS INTEGER) AS text_length, 'half ' || i AS note,
+               list_transform(range(64), lambda k: CAST(coalesce(m[k], 0) AS INTEGER)) AS embedding
+        FROM halves JOIN whole USING (doc_id) LEFT JOIN vectors USING (doc_id, i)""",
+)
 def embed(spark, sf):
+    """Both halves of each document as one request: the report and its items."""
+    from docspark.operators.embed import embed_batches
+
+    note = lambda i: F.create_map(F.lit("note"), F.lit(f"half {i}"))
+    asked = halves(spark, sf).select("doc_id", F.array("a", "b").alias("texts"), F.array(note(0), note(1)).alias("notes"))
+    made, _ = embed_batches(asked, "texts", "notes", "counted-64")
+    rows = made.select("doc_id", "report", F.explode("report.items").alias("item"))
+    length = F.col("report.text_lengths")[F.col("item.index")]
+    return rows.select("doc_id", "report.count", "report.dimension", "report.model", "report.normalised", "item.index", length.alias("text_length"), F.col("item.metadata")["note"].alias("note"), F.col("item.embedding").cast("array<int>").alias("embedding"))
+
+
+@query("udf6_model_fallback", "SELECT doc_id, 'hashed-64' AS model, 64 AS dimension, length(substr(text, 1, 8192)) > 0 AS embedded FROM documents WHERE regexp_matches(coalesce(text, ''), '[^" + WHITE[1:-1] + "]')")
+def model_fallback(spark, sf):
+    """An unknown model is replaced by the default one."""
     from docspark.operators.embed import embed as run
 
     good, _ = run(B.read(spark, sf, "documents").select("doc_id", "text"), model="unknown-model")
-    return good.select("doc_id", F.struct("vector", "dimension", "model").alias("embedding"))
+    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    return good.select("doc_id", "model", F.size("vector").alias("dimension"), (F.abs(length - 1) < 0.001).alias("embedded"))

@@ -141,5 +141,12 @@ EVENTS = """task_events AS (
          CAST(ts AS TIMESTAMP) AS ts, value, props FROM events)"""
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, bit by bit (a fixed rule)."""
+    data = f"list_transform(range(0, CAST(length(hex(encode({text}))) AS BIGINT), 2), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(i + 1 AS BIGINT), 2) AS BIGINT))"
+    step = "list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda a, b: {step}), 4294967295)"
+
+
 def sql(body: str, *tables: str) -> str:
     return f"WITH {', '.join(tables)} {body}" if tables else body
