@@ -1,7 +1,7 @@
 """Vector search over whole tables of questions.
 
 Both sides are packed into blocks (one row holds some thousand vectors as one
-binary), each block of questions meets each block of chunks, and a matrix
+binary), blocks of questions are joined to the blocks of chunks that they may see, and a matrix
 product scores the pair; only the best k of each question leave the pair.  So
 neither side passes through the driver or is broadcast whole, and no row is made
 for a pair of vectors.
@@ -9,16 +9,23 @@ for a pair of vectors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import vector as V
 
 BLOCK = 4096
+#: Questions whose vectors have at most so many bytes together are broadcast; others meet the chunks in a grid.
+BROADCAST_BYTES = 16_000_000
+GRID = 8
+#: Lists of an index at most; the centres are sent to all tasks.
+MOST_LISTS = 16_384
 
 
 def match_metadata(metadata: Column, wanted: dict[str, str]) -> Column:
@@ -51,22 +58,59 @@ def split_valid(chunks: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame
     return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")
 
 
-def _pack(df: DataFrame, id_column: str, scope: str | None, names: str) -> DataFrame:
-    """Blocks: (ids, scopes, vectors) of up to BLOCK rows; rows without a vector are left out, as they are like nothing."""
-    scopes = F.col(scope) if scope else F.lit(None)
-    rows = df.filter(F.col("vector").isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), scopes.cast("string").alias("scope"), V.doubles(F.col("vector")).alias("vector"))
+def _sound(df: DataFrame, id_column: str, scope: str | None = None) -> DataFrame:
+    """(id, scope, vector): rows whose vectors can be compared; null and empty ones and those with a value that is no number are like nothing."""
+    v = V.doubles(F.col("vector"))
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = df.filter(F.col("vector").isNotNull() & (F.size("vector") > 0)).filter(~odd)
+    return rows.select(F.col(id_column).cast("bigint").alias("id"), (F.col(scope) if scope else F.lit(None)).cast("string").alias("scope"), v.alias("vector"))
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """The vectors of a batch as rows; ragged ones are an error."""
+    sizes = pa.compute.unique(pa.compute.list_value_length(vectors)).to_pylist()
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different lengths: {', '.join(map(str, sorted(sizes)))}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _same_length(q: np.ndarray, c: np.ndarray) -> None:
+    if q.shape[1] != c.shape[1]:
+        raise ValueError(f"questions have vectors of length {q.shape[1]}, chunks of length {c.shape[1]}")
+
+
+def _blocks(rows: DataFrame, names: str) -> DataFrame:
+    """(key, ids, vectors) for up to BLOCK rows of the same key that follow each other in a partition; no row moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                flat = part.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), pa.array([flat.tobytes()], pa.binary())],
-                    names=[f"{names}_ids", f"{names}_scopes", f"{names}_vectors"],
-                )
+            keys = batch.column(1).to_pylist()
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                for at in range(begin, end, BLOCK):
+                    part = batch.slice(at, min(BLOCK, end - at))
+                    columns = [pa.array([keys[at]], pa.string()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([_matrix(part.column(2)).tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", f"{names}_ids", f"{names}_vectors"])
 
-    return rows.mapInArrow(run, f"{names}_ids array<bigint>, {names}_scopes array<string>, {names}_vectors binary")
+    return rows.mapInArrow(run, f"key string, {names}_ids array<bigint>, {names}_vectors binary")
+
+
+def _met(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """Blocks of chunks beside blocks of questions with the same key.
+
+    The questions are broadcast if there are so few that their vectors have at most
+    BROADCAST_BYTES; otherwise both sides are shuffled by their key, which is
+    divided into a grid so that one key is met by many tasks.
+    """
+    c, q = _blocks(chunks, "c"), _blocks(questions, "q")
+    size = questions.agg(F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return c.join(F.broadcast(q), "key")
+    side = F.sequence(F.lit(0), F.lit(GRID - 1))
+    mine = lambda ids: F.pmod(F.xxhash64(ids), F.lit(GRID)).cast("int")
+    c = c.withColumn("row", mine("c_ids")).withColumn("column", F.explode(side))
+    q = q.withColumn("column", mine("q_ids")).withColumn("row", F.explode(side))
+    return c.join(q, ["key", "row", "column"]).drop("row", "column")
 
 
 def _scores(q: np.ndarray, c: np.ndarray, kind: str) -> np.ndarray:
@@ -87,10 +131,14 @@ def top_k(
 ) -> DataFrame:
     """(question_id, id, score, rank): the best k chunks of each question, ties by id.
 
-    With scopes, a question that has one sees only the chunks of the same scope.
+    With scopes, a question that has one meets only the blocks of chunks of the same
+    scope; a question without one meets all.
     Filters come first, so k chunks are found wherever k match; k of 0 or less
     returns all.  Scores are rounded to `digits` before they are ranked, so
     that the order does not depend on how sums were grouped.
+
+    Rows without a sound vector (null, empty, not finite) are left out on both sides; vectors
+    of different lengths are an error that names them.
     """
     if kind not in V.KINDS:
         raise ValueError(f"unknown distance {kind!r}; known are {', '.join(V.KINDS)}")
@@ -100,12 +148,9 @@ def top_k(
             for row in batch.to_pylist():
                 q = np.frombuffer(row["q_vectors"], "<f8").reshape(len(row["q_ids"]), -1)
                 c = np.frombuffer(row["c_vectors"], "<f8").reshape(len(row["c_ids"]), -1)
+                _same_length(q, c)
                 scores = np.round(_scores(q, c, kind), digits)
                 ok = scores >= min_score
-                if question_scope and chunk_scope:
-                    mine = np.array([s or "" for s in row["q_scopes"]], object)
-                    theirs = np.array([s or "" for s in row["c_scopes"]], object)
-                    ok &= (mine[:, None] == theirs[None]) | np.array([s is None for s in row["q_scopes"]])[:, None]
                 ids = np.array(row["c_ids"])
                 found_q, found_c, found_s = [], [], []
                 for i in range(len(q)):
@@ -117,7 +162,13 @@ def top_k(
                     found_s += scores[i, at].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(found_q, pa.int64()), pa.array(found_c, pa.int64()), pa.array(found_s, pa.float64())], names=["question_id", "id", "score"])
 
-    blocks = _pack(chunks, chunk_id, chunk_scope, "c").crossJoin(_pack(questions, question_id, question_scope, "q"))
+    scoped = bool(question_scope and chunk_scope)
+    c, q = _sound(chunks, chunk_id, chunk_scope if scoped else None), _sound(questions, question_id, question_scope if scoped else None)
+    everywhere = lambda rows: rows.withColumn("scope", F.lit("*"))
+    blocks = _met(everywhere(c), everywhere(q.filter("scope IS NULL")))
+    if scoped:
+        of_scope = lambda rows: rows.filter("scope IS NOT NULL").sortWithinPartitions("scope")
+        blocks = blocks.unionByName(_met(of_scope(c), of_scope(q)))
     best = blocks.mapInArrow(run, "question_id bigint, id bigint, score double")
     order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("id").asc())
     ranked = best.withColumn("rank", F.row_number().over(order))
@@ -141,13 +192,13 @@ def lsh_neighbours(chunks: DataFrame, questions: DataFrame, k: int = 5, bits: in
     """
 
     def keys(df: DataFrame, id_column: str, probe: int, names: str) -> DataFrame:
-        rows = df.select(F.col(id_column).cast("bigint").alias("id"), V.normalise(F.col("vector")).alias("vector"))
+        rows = _sound(df, id_column).select("id", V.normalise(F.col("vector")).alias("vector"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                m = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                m = _matrix(batch.column(1))
                 planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((m.shape[1], tables * bits))
                 signs = (m @ planes > 0).reshape(len(m), tables, bits)
                 key = (signs << np.arange(bits)).sum(2)
@@ -165,30 +216,91 @@ def lsh_neighbours(chunks: DataFrame, questions: DataFrame, k: int = 5, bits: in
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def inverted_lists(chunks: DataFrame, questions: DataFrame, k: int = 5, lists: int = 16, probes: int = 12, sample: int = 5000, seed: int = 7) -> DataFrame:
-    """Approximate (question_id, id, score, rank) by k-means lists: each question looks into its nearest lists.
+def list_count(n: int) -> int:
+    """Lists for n vectors: four times the root, so that both finding the lists and looking into them grow slower than n."""
+    return int(min(MOST_LISTS, max(4, round(4 * n**0.5))))
 
-    The centres are fitted on a sample of at most `sample` rows (those with the
-    least hashes of their ids); every chunk is assigned to its nearest centre.
+
+def inverted_lists(
+    chunks: DataFrame, questions: DataFrame, k: int = 5, lists: int | None = None, share: float = 0.35, scoped_share: float = 0.75, again: int = 8, sample: int = 20_000, seed: int = 7,
+    chunk_scope: str | None = None, question_scope: str | None = None,
+) -> DataFrame:
+    """Approximate (question_id, id, score, rank) by cosine: each question looks into the `share` of the lists that is nearest to it.
+
+    Centres are fitted on a sample of at most `sample` rows (those with the least
+    hashes of their ids); every chunk belongs to the list of its nearest centre.
+    The number of lists follows the number of chunks.  A list's vectors are kept
+    as one byte a value in blocks by list and scope; a block is scored against the
+    questions that look into it by one matrix product, and only the best
+    `again` * k of each leave it.  The best of these are scored again by their whole
+    vectors, so that no more than `again` * k pairs of a question are rows.
+
+    Scopes as in `top_k`; where there are scopes, `scoped_share` of the lists is
+    looked into, as a scope's nearest are farther and its blocks fewer.  Rows without a sound
+    vector are left out; vectors of different lengths are an error.
     """
-    rows = chunks.select(F.col("id").cast("bigint").alias("id"), V.normalise(F.col("vector")).alias("vector"))
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
-    centres = _kmeans(np.array([r["vector"] for r in picked], float), lists, seed) if picked else np.zeros((1, 1))
+    scoped = bool(question_scope and chunk_scope)
+    rows, asked = _sound(chunks, "id", chunk_scope if scoped else None), _sound(questions, "id", question_scope if scoped else None)
+    lists = lists or list_count(rows.count())
+    unit = V.normalise(F.col("vector")).alias("vector")
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select(unit).toArrow()
+    centres = _kmeans(_matrix(picked.column(0).combine_chunks()), lists, seed) if picked.num_rows else np.zeros((1, 1))
+    probes, keep = max(1, math.ceil((scoped_share if scoped else share) * len(centres))), again * k
+
+    def nearest(df: DataFrame, n: int) -> DataFrame:
+        """The rows with the n lists nearest to them."""
 
-    def nearest(df: DataFrame, n: int, names: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                m = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                at = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :n]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.tolist(), pa.list_(pa.int32())), batch.column(1)], names=[f"{names}_id", "lists", f"{names}_vector"])
+                if batch.num_rows:
+                    m = _matrix(batch.column(2))
+                    _same_length(m, centres)
+                    near = np.argpartition(-(m @ centres.T), min(n, len(centres)) - 1, axis=1)[:, :n] if n > 1 else (m @ centres.T).argmax(1)[:, None]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=["id", "scope", "vector", "lists"])
 
-        return df.mapInArrow(run, f"{names}_id bigint, lists array<int>, {names}_vector array<double>").withColumn("list", F.explode("lists"))
+        return df.select("id", "scope", unit).mapInArrow(run, "id bigint, scope string, vector array<double>, lists array<int>")
 
-    asked = questions.select(F.col("id").cast("bigint").alias("id"), V.normalise(F.col("vector")).alias("vector"))
-    both = nearest(asked, probes, "q").drop("lists").join(nearest(rows, 1, "c").drop("lists"), "list")
-    scored = both.select(F.col("q_id").alias("question_id"), F.col("c_id").alias("id"), F.round(V.dot(F.col("q_vector"), F.col("c_vector")), 6).alias("score"))
+    def packed(df: DataFrame, n: int, names: str, kind: str) -> DataFrame:
+        """(list, scope, ids, codes): blocks of a list's and scope's vectors in one number of this kind a value."""
+        placed = nearest(df, n).select(F.explode("lists").alias("list"), "scope", "id", "vector")
+        placed = placed.repartition("list", F.pmod(F.xxhash64("id"), F.lit(GRID))).sortWithinPartitions("list", "scope", "id")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                where, scope = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                cuts = [0, *(i for i in range(1, len(where)) if where[i] != where[i - 1] or scope[i] != scope[i - 1]), len(where)]
+                for begin, end in zip(cuts, cuts[1:], strict=False):
+                    for at in range(begin, end, BLOCK):
+                        part = batch.slice(at, min(BLOCK, end - at))
+                        m = _matrix(part.column(3))
+                        most = np.maximum(np.abs(m).max(axis=1, keepdims=True), 1e-12)
+                        codes = np.round(m / most * 127).astype(np.int8) if kind == "int8" else m.astype(np.float32)
+                        scales = (most[:, 0] / 127).tolist() if kind == "int8" else [1.0] * len(m)
+                        columns = [pa.array([where[at]], pa.int32()), pa.array([scope[at]], pa.string()), pa.array([part.column(2).to_pylist()], pa.list_(pa.int64())), pa.array([scales], pa.list_(pa.float64())), pa.array([codes.tobytes()], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["list", f"{names}_scope", f"{names}_ids", f"{names}_scales", f"{names}_codes"])
+
+        return placed.mapInArrow(run, f"list int, {names}_scope string, {names}_ids array<bigint>, {names}_scales array<double>, {names}_codes binary")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q = np.frombuffer(row["q_codes"], np.float32).reshape(len(row["q_ids"]), -1)
+                c = np.frombuffer(row["c_codes"], np.int8).reshape(len(row["c_ids"]), -1).astype(np.float32)
+                near = q @ c.T * np.array(row["c_scales"], np.float32)
+                n = min(keep, len(c))
+                at = np.argpartition(-near, n - 1, axis=1)[:, :n]
+                ids = np.array(row["c_ids"])[at].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row["q_ids"], n), pa.int64()), pa.array(ids, pa.int64()), pa.array(np.take_along_axis(near, at, 1).ravel().astype(np.float64))], names=["question_id", "id", "near"])
+
+    # A list's blocks are few and its questions many or the reverse; a list that holds much is split by AQE, block by block.
+    met = packed(asked, probes, "q", "float32").join(packed(rows, 1, "c", "int8"), "list")
+    if scoped:
+        met = met.filter("q_scope IS NULL OR q_scope = c_scope")
+    found = met.mapInArrow(score, "question_id bigint, id bigint, near double")
+    closest = Window.partitionBy("question_id").orderBy(F.col("near").desc(), "id")
+    found = found.withColumn("_n", F.row_number().over(closest)).filter(F.col("_n") <= keep).select("question_id", "id")
+    q, c = asked.select(F.col("id").alias("question_id"), unit.alias("q_vector")), rows.select("id", unit.alias("c_vector"))
+    scored = found.join(q, "question_id").join(c, "id").select("question_id", "id", F.round(V.dot(F.col("q_vector"), F.col("c_vector")), 6).alias("score"))
     order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("id").asc())
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

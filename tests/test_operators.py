@@ -78,6 +78,49 @@ def test_approximate_recall(spark):
     assert S.recall(S.inverted_lists(chunks, asked), exact).first().recall >= 0.9
 
 
+def test_approximate_search_in_scopes(spark):
+    chunks = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), (F.col("label") % 4).cast("string").alias("file_id"))
+    asked = chunks.filter("id % 50 = 0").withColumn("file_id", F.when(F.col("id") % 100 == 0, F.col("file_id")))
+    exact = S.top_k(chunks, asked, min_score=-1.0, chunk_scope="file_id", question_scope="file_id").cache()
+    found = S.inverted_lists(chunks, asked, chunk_scope="file_id", question_scope="file_id")
+    assert S.recall(found, exact).first().recall >= 0.9
+    scope = {r.id: r.file_id for r in chunks.collect()}
+    own = {r.id: r.file_id for r in asked.collect()}
+    rows = found.collect()
+    assert all(own[r.question_id] in (None, scope[r.id]) for r in rows)
+    right = {(r.question_id, r.id): r.score for r in exact.collect()}
+    assert all(right.get((r.question_id, r.id), r.score) == pytest.approx(r.score, abs=1e-6) for r in rows)
+    # No more than 40 of 2,000 chunks are scored by their whole vectors for a question.
+    assert S.list_count(2000) == 179 and S.list_count(10**12) == S.MOST_LISTS and S.list_count(0) == 4
+
+
+def test_questions_in_a_grid(spark, monkeypatch):
+    """Questions too large to broadcast meet every chunk once."""
+    chunks = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("file_id"))
+    asked = chunks.withColumn("file_id", F.when(F.col("id") % 3 == 0, F.col("file_id")))
+    search = lambda: S.top_k(chunks.repartition(5), asked.repartition(3), 4, chunk_scope="file_id", question_scope="file_id")
+    few = sorted(map(tuple, search().collect()))
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    many = search()
+    assert sorted(map(tuple, many.collect())) == few
+    plan = many._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_unsound_and_ragged_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, []), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.0, 2.0]), (7, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    for search in (S.top_k, S.lsh_neighbours, S.inverted_lists):
+        assert {(r.question_id, r.id) for r in search(df, df).collect()} >= {(1, 1), (6, 6)}
+        assert {r.question_id for r in search(df, df).collect()} == {1, 6}
+        assert not search(df.limit(0), df).collect() and not search(df, df.limit(0)).collect()
+        ragged = df.unionByName(spark.createDataFrame([(8, [1.0, 2.0, 3.0])], df.schema)).coalesce(1)
+        with pytest.raises(Exception, match="different lengths: 2, 3"):
+            search(ragged, ragged).collect()
+    with pytest.raises(Exception, match="of length 3, chunks of length 2"):
+        S.top_k(df, spark.createDataFrame([(8, [1.0, 2.0, 3.0])], df.schema)).collect()
+
+
 def test_contexts(spark):
     hits = spark.createDataFrame([(1, 1, "a", 0.95), (1, 2, "b", 0.9), (1, 3, "a", 0.85), (2, 1, "c", 0.1)], "question_id int, rank int, text string, score double")
     asked = spark.createDataFrame([(1, "q1"), (2, "q2"), (3, "q3")], "question_id int, question string")
