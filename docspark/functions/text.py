@@ -28,6 +28,13 @@ STOP_WORDS = {
     "en": "the of and to in is that for it was on are with as by this from be", "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine",
     "fr": "le la les de et des en un une du que est pour qui dans sur pas au", "es": "el la de que y en un los se del las por con para una su al es",
 }
+#: Letters and groups of letters that are frequent in each language and rare in the others, as patterns whose matches are counted.
+PROFILES = {
+    "en": "th|wh|sh|wa|ing|ed|ly", "de": "sch|ch|ei|ung|pf|tz|ü|ö|ä|ß",
+    "fr": "eau|eux|ai|oi|qu|é|è|ê|ç|à|œ", "es": "ción|ll|rr|ñ|ó|í|á|ú|¿|¡",
+}
+#: A frequent word counts as much as so many groups of letters.
+WORD_WEIGHT = 3
 
 
 def _text(c: Column | str) -> Column:
@@ -176,10 +183,11 @@ def normalise_role(c: Column) -> Column:
 
 
 def guess_language(c: Column | str, limit: int = 1000, default: str = "en") -> Column:
-    """The language whose frequent words make up most of the first characters; a tie or none gives the default."""
-    found = F.split(F.lower(F.substring(_text(c), 1, limit)), r"[^\p{L}]+")
+    """The language whose frequent words and letters the first characters have most of; a tie or none gives the default."""
+    low = F.lower(F.substring(_text(c), 1, limit))
+    found = F.split(low, r"[^\p{L}]+")
     among = lambda known: F.size(F.filter(found, lambda w: w.isin(known.split())))
-    hits = {k: among(known) for k, known in STOP_WORDS.items()}
+    hits = {k: WORD_WEIGHT * among(known) + F.regexp_count(low, F.lit(PROFILES[k])) for k, known in STOP_WORDS.items()}
     best = F.greatest(*hits.values())
     said = F.lit(default)
     for k in sorted(hits, reverse=True):

@@ -154,17 +154,17 @@ def roles(spark, sf):
     return c.filter(said.isNotNull() & F.col("text").isNotNull()).select("conv_id", "turn", X.normalise_role(said).alias("role"))
 
 
-def stop_words_sql(lang: str) -> str:
+def likeness_sql(lang: str) -> str:
     known = ", ".join(f"'{w}'" for w in X.STOP_WORDS[lang].split())
-    return f"len(list_filter(w, lambda x: list_contains([{known}], x))) AS {lang}"
+    return f"{X.WORD_WEIGHT} * len(list_filter(w, lambda x: list_contains([{known}], x))) + len(regexp_extract_all(low, '{X.PROFILES[lang]}')) AS {lang}"
 
 
 @query(
     "txt24_guess_language",
     f"""SELECT doc_id, guess, guess = lang AS agrees FROM (
           SELECT doc_id, lang, CASE WHEN de > en AND de >= greatest(es, fr) THEN 'de' WHEN es > en AND es >= greatest(de, fr) THEN 'es' WHEN fr > en AND fr >= greatest(de, es) THEN 'fr' ELSE 'en' END AS guess
-          FROM (SELECT doc_id, lang, {", ".join(map(stop_words_sql, sorted(X.STOP_WORDS)))}
-                FROM (SELECT doc_id, lang, regexp_split_to_array(lower(substr(coalesce(text, ''), 1, 1000)), '[^\\p{{L}}]+') AS w FROM documents)))""",
+          FROM (SELECT doc_id, lang, {", ".join(map(likeness_sql, sorted(X.STOP_WORDS)))}
+                FROM (SELECT doc_id, lang, low, regexp_split_to_array(low, '[^\\p{{L}}]+') AS w FROM (SELECT doc_id, lang, lower(substr(coalesce(text, ''), 1, 1000)) AS low FROM documents))))""",
 )
 def guess_language(spark, sf):
     return docs(spark, sf).select("doc_id", X.guess_language("text").alias("guess"), (X.guess_language("text") == F.col("lang")).alias("agrees"))

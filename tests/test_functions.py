@@ -79,6 +79,13 @@ def test_vectors(spark):
         df.select(V.distance(F.slice(a, 1, 2), b)).collect()
 
 
+def test_language_guess(spark):
+    said = ["Nichts als ein kleiner Schritt für uns", "Esta canción es de una niña", "L'eau est très fraîche à côté", "The weather was lovely this morning", "", None, "12 345 !!", "xyz", "Straßenbahn über Brücken", "ñandú"]
+    assert values(column(spark, said), X.guess_language("t")) == ["de", "es", "fr", "en", "en", "en", "en", "en", "de", "es"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL")
+    assert docs.agg(F.avg((X.guess_language("text") == F.col("lang")).cast("int")).alias("same")).first().same > 0.99
+
+
 def test_chunks(spark):
     text = "One two three. Four five! " * 30 + "\n\nNew paragraph here."
     df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")
