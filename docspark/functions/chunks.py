@@ -43,11 +43,6 @@ def token_chunks(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text:
     return cut.select(*kept, "index", "begin", F.array_join(F.slice("_tokens", F.col("begin") + 1, F.lit(size)), " ").alias(text))
 
 
-def sentences(text: Column | str) -> Column:
-    marked = F.regexp_replace(X._text(text), r"([.!?]+)\s+|([。！？]+)\s*", "$1$2\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), X.strip), lambda s: s != "")
-
-
 def sentence_chunks(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
     """(…, index, text): sentences put together while they fit in `size` tokens; a chunk begins with the last ones of the chunk before that fit in `overlap`.
 
@@ -94,18 +89,18 @@ def hierarchical_chunks(df: DataFrame, size: int = SIZE, overlap: int = 0, key:
     return rows.select(key, "level", "index", "_w.parent_index", "_w.begin", (F.col("_w.begin") + F.col("_w.n")).alias("end"), cut.alias(text))
 
 
-def chunk(df: DataFrame, kind: str = "sentence", size: int = SIZE, overlap: int = OVERLAP, text: str = "text", key: str = "doc_id", embed=None) -> DataFrame:
-    """By the name of the kind; an unknown one is cut by paragraphs, as are a semantic cut without an embedder and a hierarchical one whose overlap fills its smallest windows."""
+def chunk(df: DataFrame, kind: str = "sentence", size: int = SIZE, overlap: int = OVERLAP, text: str = "text", key: str = "doc_id", model: str | None = None) -> DataFrame:
+    """By the name of the kind; an unknown one is cut by paragraphs, as are a semantic cut without a model and a hierarchical one whose overlap fills its smallest windows."""
     if kind == "token":
         return token_chunks(df, size, overlap, text)
     if kind == "sentence":
         return sentence_chunks(df, size, overlap, text)
     if kind == "hierarchical" and overlap < max(1, size >> 2):
         return hierarchical_chunks(df, size, overlap, key, text)
-    if kind == "semantic" and embed is not None:
+    if kind == "semantic" and model is not None:
         from docspark.operators.semantic import semantic_chunks
 
-        return semantic_chunks(df, embed, key, text)
+        return semantic_chunks(df, model, text)
     return paragraph_chunks(df, size, overlap, text)
 
 

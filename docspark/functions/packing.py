@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -87,8 +87,16 @@ def pack(text: str, kind: str, size: int, overlap: int) -> list[Span]:
     return spans
 
 
-def packed_chunks(df: DataFrame, kind: str, size: int, overlap: int, text: str) -> DataFrame:
-    """The other columns of df, index (from 0) and the chunk's text: a row for each chunk, in Arrow batches without a shuffle."""
+def sentences(text: str) -> list[str]:
+    """The sentences of a text, stripped."""
+    return [x for x in (text[b:e].strip() for b, e in _cut(text, (0, len(text)), "sentence")) if x]
+
+
+def chunked(df: DataFrame, text: str, make: Callable[[], Callable[[str], list[str]]]) -> DataFrame:
+    """The other columns of df, index (from 0) and the chunk's text: a row for each chunk that the function of `make`, made once a task, cuts from a text.
+
+    In Arrow batches, without a shuffle; a null text has no chunks.
+    """
     kept = [f for f in df.schema.fields if f.name != text]
     names = [f.name for f in kept]
 
@@ -98,13 +106,13 @@ def packed_chunks(df: DataFrame, kind: str, size: int, overlap: int, text: str)
         return pa.RecordBatch.from_arrays([*columns, pa.array(index, pa.int32()), pa.array(cut, pa.string())], names=[*names, "index", text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = make()
         for batch in batches:
             found, held = [], 0
             for i, said in enumerate(batch.column(len(names))):
-                said = said.as_py() or ""
-                for k, (begin, end) in enumerate(pack(said, kind, size, overlap)):
-                    found.append((i, k, said[begin:end]))
-                    held += end - begin
+                for k, chunk in enumerate(cut(said.as_py() or "")):
+                    found.append((i, k, chunk))
+                    held += len(chunk)
                 if held > OUT_CHARS:
                     yield made(batch, found)
                     found, held = [], 0
@@ -113,3 +121,8 @@ def packed_chunks(df: DataFrame, kind: str, size: int, overlap: int, text: str)
 
     schema = T.StructType([*kept, T.StructField("index", T.IntegerType()), T.StructField(text, T.StringType())])
     return df.select(*names, text).mapInArrow(run, schema)
+
+
+def packed_chunks(df: DataFrame, kind: str, size: int, overlap: int, text: str) -> DataFrame:
+    """A row for each chunk of `pack`, beside the other columns."""
+    return chunked(df, text, lambda: lambda said: [said[b:e] for b, e in pack(said, kind, size, overlap)])

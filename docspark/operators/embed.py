@@ -21,12 +21,20 @@ Embed = Callable[[list[str]], np.ndarray]
 def hashed_words(dimension: int = 64, unit: bool = True) -> Embed:
     """A deterministic bag of words: each word adds 1 or -1 at a place that its hash gives; length one if `unit`."""
 
+    codes: dict[str, int] = {}
+
+    def code(word: str) -> int:
+        if len(codes) >= STORE_WORDS:
+            codes.clear()
+        h = zlib.crc32(word.encode())
+        codes[word] = c = ((h >> 1) % dimension << 1 | h & 1) + 1  # never 0
+        return c
+
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimension), np.float32)
-        for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = zlib.crc32(w.encode())
-                out[i, (h >> 1) % dimension] += 1 - 2 * (h & 1)
+        words = [t.lower().split() for t in texts]
+        said = np.array([codes.get(w) or code(w) for ws in words for w in ws], np.int64) - 1
+        row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+        out = np.bincount(row * dimension + (said >> 1), 1.0 - 2 * (said & 1), len(texts) * dimension).reshape(len(texts), dimension).astype(np.float32)
         return scaled(out) if unit else out
 
     return embed
@@ -38,6 +46,9 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(size == 0, 1, size)
 
 
+#: Distinct words whose hashes an embedder remembers.
+STORE_WORDS = 500_000
+
 #: Models by name: how to make one, and its dimension.
 EMBEDDERS: dict[str, tuple[Callable[[], Embed], int]] = {"hashed-64": (lambda: hashed_words(64), 64), "hashed-256": (lambda: hashed_words(256), 256), "counted-64": (lambda: hashed_words(64, unit=False), 64)}
 DEFAULT = "hashed-64"

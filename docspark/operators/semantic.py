@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import partial
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import vector as V
-from docspark.functions.chunks import sentences
+from docspark.functions.packing import chunked, sentences
+from docspark.operators.embed import EMBEDDERS, Embed, resolve
 
 
 def breakpoints(df: DataFrame, key: str, position: str, vector: str, percent: float = 0.95) -> DataFrame:
@@ -20,15 +24,27 @@ def breakpoints(df: DataFrame, key: str, position: str, vector: str, percent: fl
     return rows.withColumn("chunk", F.sum(far).over(w).cast("bigint")).drop("_limit")
 
 
-def semantic_chunks(df: DataFrame, embed: Column, key: str = "doc_id", text: str = "text", buffer: int = 1, percent: float = 0.95) -> DataFrame:
-    """(key, index, text): `embed` is a function of a column of texts; each sentence is embedded with `buffer` neighbours on each side.
+def _cut_text(text: str, embed: Embed, buffer: int, percent: float, together: int) -> list[str]:
+    said = sentences(text)
+    if len(said) < 2:
+        return said
+    groups = [" ".join(said[max(0, k - buffer) : k + buffer + 1]) for k in range(len(said))]
+    v = np.concatenate([embed(groups[k : k + together]) for k in range(0, len(groups), together)]).astype(np.float64)
+    size = np.linalg.norm(v, axis=1)
+    size = size[1:] * size[:-1]
+    near = np.where(size == 0, 0, np.einsum("ij,ij->i", v[1:], v[:-1]) / np.where(size == 0, 1, size))
+    distance = np.round(1 - np.clip(near, -1, 1), 6)
+    cuts = [0, *(np.flatnonzero(distance > np.quantile(distance, percent)) + 1).tolist(), len(said)]
+    return [" ".join(said[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def semantic_chunks(df: DataFrame, model: str | None = None, text: str = "text", buffer: int = 1, percent: float = 0.95, together: int = 256) -> DataFrame:
+    """(…, index, text): texts cut between neighbouring groups of sentences whose vectors are farther apart than `percent` of the text's neighbours are.
 
-    Keys must be unique; a text without a sentence has no chunk.
+    Each sentence is embedded by the model of that name with `buffer` neighbours on
+    each side, `together` at a time.  One pass in Arrow batches without a shuffle; the work
+    grows with the number of sentences.  A text of one sentence is one chunk; one
+    without a sentence, empty or null has none; other columns stay.
     """
-    rows = df.select(key, F.posexplode(sentences(text)).alias("position", "sentence"))
-    near = Window.partitionBy(key).orderBy("position").rowsBetween(-buffer, buffer)
-    rows = rows.withColumn("_group", F.array_join(F.collect_list("sentence").over(near), " "))
-    rows = rows.select(key, "position", "sentence", embed("_group").alias("vector"))
-    cut = breakpoints(rows, key, "position", "vector", percent)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "sentence"))), lambda x: x["sentence"]), " ")
-    return cut.groupBy(key, F.col("chunk").cast("int").alias("index")).agg(joined.alias(text))
+    make = EMBEDDERS[resolve(model)][0]
+    return chunked(df, text, lambda: partial(_cut_text, embed=make(), buffer=buffer, percent=percent, together=together))

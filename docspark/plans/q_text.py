@@ -228,10 +228,9 @@ def paragraph_chunks(spark, sf):
 
 @query("chk5_semantic_chunks")
 def semantic_chunks(spark, sf):
-    from docspark.operators.embed import embed_column
     from docspark.operators.semantic import semantic_chunks as cut
 
-    return cut(docs(spark, sf).select("doc_id", "text"), embed_column)
+    return cut(docs(spark, sf).select("doc_id", "text"))
 
 
 def windows_sql(width: int, n: str) -> str:

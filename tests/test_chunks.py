@@ -9,7 +9,7 @@ import pytest
 
 from docspark.functions import chunks as C
 from docspark.functions import packing as P
-from docspark.operators.embed import embed_column, hashed_words
+from docspark.operators.embed import hashed_words
 from docspark.operators.semantic import semantic_chunks
 
 PIECES = ["word ", "a. ", "b! ", "。", "中文", "，", "\n\n", "\n", "long" * 9, ", ", " ", "x", "? ", "\t", "　", "é"]
@@ -91,7 +91,7 @@ def test_dispatch(spark):
     assert one(C.chunk(df, "hierarchical", 16, 2)) == one(C.hierarchical_chunks(df, 16, 2))
     for kind, overlap in (("paragraph", 2), ("no such kind", 2), ("semantic", 2), ("hierarchical", 4)):
         assert one(C.chunk(df, kind, 16, overlap)) == one(C.paragraph_chunks(df, 16, overlap))
-    assert one(C.chunk(df, "semantic", embed=embed_column)) == one(semantic_chunks(df, embed_column))
+    assert one(C.chunk(df, "semantic", model="hashed-64")) == one(semantic_chunks(df))
     with pytest.raises(ValueError):
         C.hierarchical_chunks(df, 16, 4)
 
@@ -113,12 +113,12 @@ def test_semantic_chunks(spark):
             chunk += bool(k and far[k - 1] > np.quantile(far, 0.95))
             parts.setdefault(chunk, []).append(s)
         want += [(i, k, " ".join(x)) for k, x in parts.items()]
-    assert sorted(tuple(r) for r in semantic_chunks(df, embed_column).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in semantic_chunks(df).collect()) == sorted(want)
 
 
 def test_semantic_chunks_of_many_sentences(spark):
     df = spark.createDataFrame([(1, "Some words stand here. " * 16_000)], "doc_id int, text string")
     begin = time.perf_counter()
-    rows = semantic_chunks(df, embed_column).collect()
+    rows = semantic_chunks(df).collect()
     assert sum(len(r.text.split(". ")) for r in rows) == 16_000
     assert time.perf_counter() - begin < 60
