@@ -3,10 +3,14 @@
 A page becomes leaf texts, each with its root-to-leaf path of block tags.  Text
 length and punctuation are added up per path; the ratios (length per node,
 punctuation per node) are smoothed along the page, fused, and a threshold on
-the fused score selects content paths.  Every block on a content path outside the
-elements that by their tag, role or class are not article text is kept, and with
-it the titles, list items and the like around: blocks below the common ancestor
-of all content, save for containers beside it that hold no content.
+the fused score selects content paths, over all that is shown on the page.
+
+Blocks on content paths are the article.  What the ratios can't tell is told by
+the page's elements: content within <article> or <main> goes before the rest if
+it is most of it; elements that by tag, role or class are menus, notices, comments and
+the like are no article, nor are rows of equal siblings that each begin with a
+short line, as reader comments do; and titles, list items, cells and loose
+text in containers of content belong to it though their own ratios are low.
 """
 
 from __future__ import annotations
@@ -39,8 +43,14 @@ ENDS = {
     "body": ({"head"}, set()),
 }
 P_STOPS = {"button", "td", "th", "li", "div", "section", "article", "body"}
+#: Elements whose text isn't shown as text of the page.
+UNSHOWN = frozenset("head script style noscript template select option textarea input iframe noembed noframes object embed canvas svg audio video xmp".split())
 #: Elements that are never article text, wherever they stand.
-OUT = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe noembed noframes object embed canvas svg audio video dialog menu xmp search".split())
+OUT = frozenset("nav footer aside form button dialog menu search".split())
+#: Elements whose texts belong to the content around them, however short they are.
+COMPANIONS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption blockquote pre".split())
+#: Elements of which several equal ones beside each other can be reader comments.
+REPEATED = frozenset("div section article li".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Containers, which class or id can name as something other than the article.
 CONTAINERS = frozenset("div section ul ol dl table tbody tr td th header figure fieldset details center hgroup address".split())
@@ -74,7 +84,10 @@ SPACE = re.compile(r"\s+")
 class Node:
     tag: str
     up: Node | None
+    #: Not shown, or no article text.
+    unshown: bool = False
     out: bool = False
+    kind: str = ""
     #: Out by a name that is also a section's title, unless there is content below.
     doubtful: bool = False
     #: The same number for equal root-to-leaf paths.
@@ -82,7 +95,6 @@ class Node:
     depth: int = 0
     #: Characters of content below.
     weight: int = 0
-    below: bool = False
 
 
 @dataclass
@@ -119,7 +131,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
         token = TOKEN.match(page, at)
         said_now, at = token.group(), token.end()
         if said_now[0] != "<" or said_now == "<":
-            if not node.out:
+            if not node.unshown:
                 said.append(said_now)
             continue
         name = NAME.match(said_now)
@@ -127,8 +139,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
             continue  # a comment, a declaration, or a tag that is cut off
         tag = name[1].lower()
         if said_now[1] != "/":
-            if tag in INLINE and not node.out:
-                if not _is_out(tag, said_now[name.end() :])[0]:
+            if tag in INLINE and not node.unshown:
+                if not any(_is_out(tag, said_now[name.end() :])[:2]):
                     continue  # inline elements are part of their block
             if tag == "br":
                 said.append(" ")
@@ -146,12 +158,11 @@ def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
                         opened[node.tag] -= 1
                         node = node.up
             attributes = said_now[name.end() :]
-            out, doubtful = _is_out(tag, attributes)
-            out |= node.out
+            unshown, out, doubtful = _is_out(tag, attributes)
             if tag == "header" and not out:
                 out = not (opened["article"] or opened["main"])
             path = paths.setdefault((node.path, tag), len(paths) + 1)
-            node = Node(tag, node, out, doubtful, path, node.depth + 1)
+            node = Node(tag, node, node.unshown or unshown, node.out or out, attributes.strip(" /"), doubtful, path, node.depth + 1)
             nodes.append(node)
             opened[tag] += 1
             if tag in RAW:
@@ -199,44 +210,78 @@ def _says_out(name: str) -> tuple[bool, bool]:
     return True, bool(words - SECTION_NAMES)
 
 
-def _is_out(tag: str, said: str) -> tuple[bool, bool]:
-    """Whether an element is no article text, and whether that is to be seen by the content below."""
-    if tag in OUT:
-        return True, False
+def _is_out(tag: str, said: str) -> tuple[bool, bool, bool]:
+    """Whether an element isn't shown, whether it is no article text, and whether the latter is to be seen by the content below."""
+    if tag in UNSHOWN:
+        return True, True, False
     if tag in ("html", "body", "article", "main") or not said.strip(" />"):
-        return False, False
+        return False, tag in OUT, False
     found = _attributes(said)
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in OUT_ROLES:
-        return True, False
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True, False
     whole = f"{found.get('class', '')} {found.get('id', '')}".split()
     lower = {w.lower() for w in whole}
-    if lower & HIDDEN_NAMES:
-        return True, False
+    unseen = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or lower & HIDDEN_NAMES
+    if unseen or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+        return True, True, False
+    if tag in OUT or found.get("role", "").lower() in OUT_ROLES:
+        return False, True, False
     if tag not in CONTAINERS or lower & ARTICLE_NAMES:
-        return False, False
+        return False, False, False
     said_out = [_says_out(w) for w in whole]
-    return any(sure for _, sure in said_out), any(out and not sure for out, sure in said_out)
+    return False, any(sure for _, sure in said_out), any(out and not sure for out, sure in said_out)
 
 
-def content_paths(blocks: list[Block], radius: int = 1, threshold: float = 0.5) -> np.ndarray:
+def content_paths(blocks: list[Block], radius: int = 1, threshold: float = 0.25) -> np.ndarray:
     """Whether the tag path of each block is a content path.
 
     Length and punctuation per node of a path, each smoothed by a Gaussian over
     the blocks around, are multiplied; a path is content if the mean of its
-    blocks is at least `threshold` times the standard deviation over all blocks.
+    blocks is at least `threshold` times the mean over all characters of the page.
     """
     paths, at = np.unique([b.node.path for b in blocks], return_inverse=True)
     nodes = np.bincount(at, minlength=len(paths))
-    length = np.bincount(at, [len(b.text) for b in blocks], len(paths)) / nodes
+    size = np.array([len(b.text) for b in blocks], float)
+    length = np.bincount(at, size, len(paths)) / nodes
     marks = np.bincount(at, [len(PUNCTUATION.findall(b.text)) for b in blocks], len(paths)) / nodes
-    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / max(radius, 1)) ** 2)
+    kernel = np.exp(-4.0 * (np.arange(-radius, radius + 1) / max(radius, 1)) ** 2)
     kernel /= kernel.sum()
     smooth = lambda x: np.convolve(np.pad(x, radius, "edge"), kernel, "valid")
-    fused = np.log1p(smooth(length[at])) * np.log1p(1 + smooth(marks[at]))
+    fused = np.log1p(smooth(length[at])) * np.log1p(0.35 + smooth(marks[at]))
     mean = np.bincount(at, fused, len(paths)) / nodes
-    return (mean >= threshold * fused.std())[at]
+    return (mean >= threshold * (fused * size).sum() / size.sum())[at]
+
+
+def _repeated(blocks: list[Block], content: np.ndarray) -> set[int]:
+    """Elements, by id(), in rows of equal siblings that each begin with a short line and hold no title, after the content that they are less than half of."""
+    groups: dict[tuple, list[Node]] = {}
+    first: dict[int, list[int]] = {}
+    for i, b in enumerate(blocks):
+        x = b.node
+        while x.up is not None:
+            held = first.setdefault(id(x), [])
+            if not held and x.tag in REPEATED and x.kind:
+                groups.setdefault((id(x.up), x.tag, x.kind), []).append(x)
+            held.append(i)
+            x = x.up
+    found = set()
+    titled = re.compile(r"h[1-6]")
+    total = sum(len(b.text) for b, keep in zip(blocks, content, strict=True) if keep)
+    for row in groups.values():
+        held = [first[id(x)] for x in row]
+        inside = [i for h in held for i in h]
+        begins = [blocks[h[0]] for h in held]
+        told = len(row) > 1 and all(len(h) > 1 and len(blocks[h[0]].text) <= 60 and blocks[h[0]].node is not blocks[h[1]].node for h in held)
+        if told and not any(titled.fullmatch(blocks[i].node.tag) for i in inside) and content[: inside[0]].any():
+            if not any(PUNCTUATION.search(b.text[-1]) for b in begins) and 2 * sum(len(blocks[i].text) for i in inside if content[i]) < total:
+                found.update(id(x) for x in row)
+    return found
+
+
+def _above(node: Node, test) -> Node | None:
+    """The nearest of an element and those around it that passes."""
+    x: Node | None = node
+    while x is not None and not test(x):
+        x = x.up
+    return x
 
 
 def main_text(page: str | None) -> str:
@@ -244,28 +289,44 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks, nodes = blocks_of(page)
-    blocks = [b for b in blocks if not b.node.out]
     if not blocks:
         return ""
     content = content_paths(blocks)
-    if not content.any():
-        content[:] = True
-    for b, keep in zip(blocks, content, strict=True):
+    may = np.array([not b.node.out for b in blocks])
+    chosen = content & may
+    if not chosen.any():  # all content is something else: the ratios of the rest among itself
+        rest = np.flatnonzero(may)
+        if not len(rest):
+            return ""
+        chosen[rest] = content_paths([blocks[i] for i in rest])
+        if not chosen.any():
+            return ""
+    # Within <article> or <main>, the innermost, if most of the content is there.
+    size = np.array([len(b.text) for b in blocks])
+    for tag in ("article", "main"):
+        inside = np.array([_above(b.node, lambda x, tag=tag: x.tag == tag) is not None for b in blocks])
+        if 2 * size[chosen & inside].sum() >= size[chosen].sum():
+            may &= inside
+            chosen &= inside
+            break
+    rows = _repeated(blocks, chosen)
+    if rows:
+        comments = np.array([_above(b.node, lambda x: id(x) in rows) is not None for b in blocks])
+        may &= ~comments
+        chosen &= ~comments
+    for b, keep in zip(blocks, chosen, strict=True):
         b.node.weight += len(b.text) * bool(keep)
     for node in reversed(nodes[1:]):
         node.up.weight += node.weight
-    total = nodes[0].weight
-    root = max((n for n in nodes if n.weight == total), key=lambda n: n.depth)
-    if root.tag in ("p", "li", "td", "dd", "dt", "pre") or re.fullmatch(r"h[1-6]", root.tag):
-        root = root.up  # a single paragraph is not all of its article
-    whole = root.tag not in ("#", "html", "body")
-    for node in nodes:  # parents first
-        if node is root:
-            node.below = True
-        elif node.up is not None and node.up.below:
-            beside = node.up is root and not whole and node.tag in CONTAINERS
-            node.below = bool(node.weight) or not (node.doubtful or beside)
-    return "\n\n".join(b.text for b in blocks if b.node.below)
+
+    def belongs(b: Block) -> bool:
+        """Whether a block that isn't on a content path stands among content: loose text of a container of content, or a title, item or cell in one."""
+        if _above(b.node, lambda x: x.doubtful and not x.weight):
+            return False
+        around = _above(b.node, lambda x: x.tag not in COMPANIONS)
+        return bool(b.node.weight) or around is not b.node and around is not None and bool(around.weight)
+
+    return "\n\n".join(b.text for b, ok, keep in zip(blocks, may, chosen, strict=True) if keep or ok and belongs(b))
 
 
 def extract(pages: DataFrame, html_column: str = "html", text: str = "text") -> DataFrame:
