@@ -110,6 +110,18 @@ def messages(block: int, parts: int, first: np.ndarray, second: np.ndarray, many
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "block", "keys", "many", "docs"])
 
 
+def copied(rows: list[tuple]) -> list[bytes]:
+    """For each digest of a text: 0 in one block only, 1 in several of which this is the first, 2 in another one."""
+    owner: dict[bytes, int] = {}
+    times: dict[bytes, int] = {}
+    split = [[r[4][k : k + 16] for k in range(0, len(r[4]), 16)] for r in rows]
+    for r, digests in zip(rows, split, strict=True):
+        for d in digests:
+            owner[d] = min(owner.get(d, r[1]), r[1])
+            times[d] = times.get(d, 0) + 1
+    return [bytes(0 if times[d] == 1 else 1 if owner[d] == r[1] else 2 for d in digests) for r, digests in zip(rows, split, strict=True)]
+
+
 def _meet(rows: list[tuple]) -> pa.RecordBatch:
     """One index partition: which keys occur in two blocks, or twice in one."""
     sizes = [len(r[2]) // 12 for r in rows]
@@ -121,30 +133,23 @@ def _meet(rows: list[tuple]) -> pa.RecordBatch:
     often = count > 1
     np.logical_or.at(often, back[many], True)
     found = often[back]
-    owner: dict[bytes, int] = {}
-    times: dict[bytes, int] = {}
-    split = [[r[4][k : k + 16] for k in range(0, len(r[4]), 16)] for r in rows]
-    for r, digests in zip(rows, split, strict=True):
-        for d in digests:
-            owner[d] = min(owner.get(d, r[1]), r[1])
-            times[d] = times.get(d, 0) + 1
-    docs = [bytes(0 if times[d] == 1 else 1 if owner[d] == r[1] else 2 for d in digests) for r, digests in zip(rows, split, strict=True)]
+    docs = copied(rows)
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([bits(found[a:b]) for a, b in zip(upto[:-1], upto[1:], strict=True)], pa.binary()), pa.array(docs, pa.binary())],
         names=["part", "block", "found", "docs"],
     )
 
 
-def ask(sent: DataFrame, parts: int) -> DataFrame:
+def ask(sent: DataFrame, parts: int, meet: Callable[[list[tuple]], pa.RecordBatch] = _meet, answer: str = ANSWER) -> DataFrame:
     """(block, answers): for each block, what the index says of its keys, a struct for each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         if rows:
-            yield _meet(rows)
+            yield meet(rows)
 
-    answers = sent.repartitionById(parts, "part").mapInArrow(run, ANSWER)
-    return answers.groupBy("block").agg(F.collect_list(F.struct("part", "found", "docs")).alias("answers"))
+    answers = sent.repartitionById(parts, "part").mapInArrow(run, answer)
+    return answers.groupBy("block").agg(F.collect_list(F.struct(*(c for c in answers.columns if c != "block"))).alias("answers"))
 
 
 def answered(answers: list[dict], keys: np.ndarray, parts: int) -> np.ndarray:
