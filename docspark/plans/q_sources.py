@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from datetime import timedelta
 
@@ -17,8 +18,12 @@ from docspark.sources import files as S
 
 
 def folder(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    """A new folder that driver and executors share; only on one machine it may be below the warehouse."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
