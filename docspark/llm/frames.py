@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,10 +16,15 @@ from docspark.llm.words import slices
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that is unset (as in tests), a folder below the warehouse is used.
-    A path without a scheme lies in the cluster's default file system.
+    Only where that is unset and all runs on one machine (as in tests), a folder below the
+    warehouse is used; on a cluster that is an error.  A path without a scheme
+    lies in the cluster's default file system.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     if "://" not in top and not top.startswith("file:"):
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
         top = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
