@@ -25,10 +25,10 @@ from docspark.llm.words import slices, utf8
 #: Training texts of each language at most; the sample is fixed by a hash of the id.
 TRAIN_PER_LANGUAGE = 250
 LANDMARKS_PER_LANGUAGE = 50
-#: n-grams are features if at least this share of the training texts of some language has them.
+#: n-grams are familiar if at least this share of the training texts of some language has them; all n-grams of the landmarks count for the kernel.
 LEAST_SHARE = 0.04
 RIDGE = 1e-3
-#: A text resembles the learned languages if at least this share of its 3- and 4-grams are features.  Held-out labelled
+#: A text resembles the learned languages if at least this share of its 3- and 4-grams are familiar.  Held-out labelled
 #: texts of sf0.1 have 0.57 to 1, random letters and digits up to 0.23, other scripts 0, Polish, Turkish and Finnish
 #: sentences 0.22 to 0.41.
 LEAST_FAMILIAR = 0.45
@@ -81,41 +81,74 @@ class Model:
     """What tasks need to score texts."""
 
     languages: list[str]
-    #: The feature n-gram in each slot of a hash table, and its number.
-    slots: np.ndarray
-    numbers: np.ndarray
+    features: Features
+    #: Which features are familiar.
+    familiar: np.ndarray
     #: Landmarks by features, divided by the root of their n-gram counts; coefficients by language.
     landmarks: np.ndarray
     coefficients: np.ndarray
     #: For each language, the share of familiar n-grams from which a text resembles it.
     bars: np.ndarray
 
-    def presence(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Which features each text has, and the share of its 3- and 4-grams that are features."""
+    def presence(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which features each text has, how many different n-grams, and the share of its 3- and 4-grams that are familiar."""
         out = np.zeros((len(texts), self.landmarks.shape[1]), np.float32)
-        known, all_ = np.zeros(len(texts)), np.zeros(len(texts))
+        known, all_, others = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
         for n, (grams, doc) in enumerate(ngrams(texts), 1):
-            slot = _slot(grams)
-            hit = self.slots[slot] == grams
-            out[doc[hit], self.numbers[slot[hit]]] = 1
-            if n > 2:  # nearly every pair of letters is a feature
+            number = self.features.find(grams)
+            hit = number >= 0
+            out[doc[hit], number[hit]] = 1
+            # n-grams that no landmark has are in no kernel value but count in the text's norm
+            rest = np.unique(grams[~hit].astype(np.uint64) | doc[~hit].astype(np.uint64) << np.uint64(32))
+            others += np.bincount((rest >> np.uint64(32)).astype(np.int64), minlength=len(texts))
+            if n > 2:  # nearly every pair of letters is familiar
+                hit[hit] = self.familiar[number[hit]]
                 known += np.bincount(doc[hit], minlength=len(texts))
                 all_ += np.bincount(doc, minlength=len(texts))
-        return out, known / np.maximum(all_, 1)
+        return out, out.sum(1) + others, known / np.maximum(all_, 1)
 
     def scores(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """One row for each text, one column for each language; and the share of familiar n-grams of each text."""
         found, shares = [np.zeros((0, len(self.languages)), np.float32)], [np.zeros(0)]
         for k in range(0, len(texts), TOGETHER):  # a presence matrix has a number for each text and n-gram
-            rows, share = self.presence(texts[k : k + TOGETHER])
-            kernel = (rows @ self.landmarks.T) / np.sqrt(np.maximum(rows.sum(1), 1))[:, None]
+            rows, size, share = self.presence(texts[k : k + TOGETHER])
+            kernel = (rows @ self.landmarks.T) / np.sqrt(np.maximum(size, 1))[:, None]
             found.append(kernel @ self.coefficients)
             shares.append(share)
         return np.concatenate(found), np.concatenate(shares)
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+def _slot(grams: np.ndarray, factor: int) -> np.ndarray:
+    return (grams * np.uint32(factor)) >> np.uint32(32 - SLOT_BITS)
+
+
+class Features:
+    """A number for each of some n-grams, by hash tables: what finds its slot taken in one is in the next."""
+
+    def __init__(self, grams: np.ndarray):
+        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
+        rng = np.random.Generator(np.random.PCG64(4))
+        left, number = grams, np.arange(len(grams), dtype=np.int32)
+        while len(left) or not self.tables:
+            factor = int(rng.integers(0, 2**31)) * 2 + 1
+            slot, one = np.unique(_slot(left, factor), return_index=True)
+            keys, numbers = np.zeros(1 << SLOT_BITS, np.uint32), np.full(1 << SLOT_BITS, -1, np.int32)
+            keys[slot], numbers[slot] = left[one], number[one]
+            self.tables.append((factor, keys, numbers))
+            rest = np.ones(len(left), bool)
+            rest[one] = False
+            left, number = left[rest], number[rest]
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """The number of each n-gram, -1 for others."""
+        out = np.full(len(grams), -1, np.int32)
+        at = np.arange(len(grams))
+        for factor, keys, numbers in self.tables:
+            slot = _slot(grams[at], factor)
+            found = (keys[slot] == grams[at]) & (numbers[slot] >= 0)
+            out[at[found]] = numbers[slot[found]]
+            at = at[~found]
+        return out
 
 
 def _features(sets: list[np.ndarray], label: np.ndarray, languages: int) -> np.ndarray:
@@ -189,19 +222,16 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     label = np.array([languages.index(x) for (x, _), _ in sample])
     sets = [np.frombuffer(x, "<u4") for _, x in sample]
 
-    wanted = _features(sets, label, len(languages))
-    _, one = np.unique(_slot(wanted), return_index=True)  # a slot holds one n-gram; the few others are no features
-    wanted = wanted[np.sort(one)]
-    slots, numbers = np.zeros(1 << SLOT_BITS, np.uint32), np.zeros(1 << SLOT_BITS, np.int32)
-    slots[_slot(wanted)], numbers[_slot(wanted)] = wanted, np.arange(len(wanted))
-
+    rank = np.array([row for (_, row), _ in sample])
+    first = rank <= LANDMARKS_PER_LANGUAGE
+    wanted = np.unique(np.concatenate([s for s, mark in zip(sets, first, strict=True) if mark]))
+    features = Features(wanted)
     has = np.zeros((len(sets), len(wanted)), np.float32)
     for k, s in enumerate(sets):
-        hit = slots[_slot(s)] == s
-        has[k, numbers[_slot(s)[hit]]] = 1
-    unit = has / np.sqrt(np.maximum(has.sum(1), 1))[:, None]
-    rank = np.array([row for (_, row), _ in sample])
-    landmarks = unit[rank <= LANDMARKS_PER_LANGUAGE]
+        number = features.find(s)
+        has[k, number[number >= 0]] = 1
+    unit = has / np.sqrt(np.maximum([len(s) for s in sets], 1))[:, None]
+    landmarks = unit[first]
     within = (landmarks @ landmarks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(within)
     good = values > 1e-6 * values.max() if len(values) else values > 0
@@ -212,7 +242,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     weight = (1 / np.bincount(label, minlength=len(languages)))[label][:, None]
     ridge = RIDGE * np.eye(mapped.shape[1]) * len(languages)
     solved = np.linalg.solve(mapped.T @ (weight * mapped) + ridge, mapped.T @ (weight * target))
-    return Model(languages, slots, numbers, landmarks.astype(np.float32), (root @ solved).astype(np.float32), _bars(sets, label, len(languages)))
+    return Model(languages, features, np.isin(wanted, _features(sets, label, len(languages))), landmarks.astype(np.float32), (root @ solved).astype(np.float32), _bars(sets, label, len(languages)))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -224,7 +254,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     and -1 for all others.  A tie goes to the language that sorts first.  The score
     tells languages apart; a text that is like none of them scores about 0.5.
     Whether it resembles lang_pred at all is told by the share of its 3- and 4-grams
-    that are features.
+    that are familiar.
     Whole texts are scored, whatever their length; columns with these names are
     replaced.
     """

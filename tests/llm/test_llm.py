@@ -160,7 +160,7 @@ def test_language_sample_is_bounded(spark, monkeypatch):
             before = cut.value
             models.append(langid.train(docs))
         assert 0 < cut.value - before <= 2 * 20
-    assert all(np.array_equal(getattr(models[0], x), getattr(models[1], x)) for x in ("slots", "landmarks", "coefficients", "bars"))
+    assert all(np.array_equal(getattr(models[0], x), getattr(models[1], x)) for x in ("familiar", "landmarks", "coefficients", "bars"))
 
 
 def test_language_stage(spark):
