@@ -126,6 +126,6 @@ def route_prompts(spark, sf):
     return r.select("session_id", "turn", G.route_prompt(F.col("route"), F.col("question"), F.concat(F.lit("with context: "), F.col("question"))).alias("prompt"))
 
 
-@query("txt5_prompt_budget", f"WITH {CONTEXT} SELECT question_id, length(context) AS raw_length FROM ctx")
+@query("txt5_prompt_budget", f"WITH {CONTEXT} SELECT question_id, length(context) AS raw_length, greatest(len(list_filter(regexp_split_to_array(context, '{X.WS}+'), lambda x: x <> '')), length(context) // 4) AS n_tokens FROM ctx")
 def prompt_budget(spark, sf):
-    return made_contexts(spark, sf).select("question_id", X.raw_length("context").alias("raw_length"))
+    return made_contexts(spark, sf).select("question_id", X.raw_length("context").alias("raw_length"), X.estimate_tokens("context").alias("n_tokens"))

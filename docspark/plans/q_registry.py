@@ -253,11 +253,17 @@ def merge_metadata(spark, sf):
     return merged.select("household", "m.name", "m.segment", "m.tags", "m.more.kind", F.col("m.more.money").alias("first_money"), "m.more.fourth", F.sort_array("m.more.places").alias("places"))
 
 
-@query("agg14_union_metadata", "SELECT vec_id AS id, 'label-' || label AS label, 'new' AS parity, 'x' AS extra FROM embeddings")
+@query(
+    "agg14_union_metadata",
+    "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'later-' || vec_id ELSE 'label-' || label END AS label, CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, CASE WHEN vec_id % 3 < 2 THEN 'x' || vec_id END AS extra, CASE WHEN vec_id % 3 < 2 THEN 3 ELSE 2 END AS n FROM embeddings",
+)
 def union_metadata(spark, sf):
-    later = F.create_map(F.lit("parity"), F.lit("new"), F.lit("extra"), F.lit("x"))
-    m = R.union_metadata(F.col("metadata"), later)
-    return B.chunks(spark, sf).select("id", m.alias("m")).select("id", F.col("m")["label"].alias("label"), F.col("m")["parity"].alias("parity"), F.col("m")["extra"].alias("extra"))
+    """Each chunk's own later map: one that replaces a value and adds one, one that adds one, an empty one."""
+    k = F.col("id")
+    extra, none = (F.lit("extra"), F.concat(F.lit("x"), k)), F.create_map().cast("map<string,string>")
+    later = F.when(k % 3 == 0, F.create_map(F.lit("label"), F.concat(F.lit("later-"), k), *extra)).when(k % 3 == 1, F.create_map(*extra)).otherwise(none)
+    m = B.chunks(spark, sf).select("id", R.union_metadata(F.col("metadata"), later).alias("m"))
+    return m.select("id", *(F.col("m")[n].alias(n) for n in ("label", "parity", "extra")), F.size("m").alias("n"))
 
 
 @query("top3_top8_registry_page", reg("SELECT id, strftime(uploaded_at, '%Y-%m-%d') AS day FROM registry ORDER BY uploaded_at DESC, id OFFSET 100 LIMIT 100"))

@@ -13,7 +13,7 @@ from docspark.operators import registry as R
 from docspark.plans import q_tasks
 from docspark.plans import tables as B
 from docspark.plans.register import SQL, query
-from docspark.plans.q_text import CLEAN
+from docspark.plans.q_text import CLEAN, packed_sql
 from docspark.sources import files as S
 
 
@@ -41,11 +41,15 @@ def pages(spark, sf):
     return B.read(spark, sf, "pages").select("page_id", S.html_to_text(F.col("html")).alias("text"))
 
 
-@query("udf3_parsers", B.sql("SELECT id, ends_with(file_name, '.md') OR ends_with(file_name, '.txt') AS parsed FROM registry", B.REGISTRY))
+@query(
+    "udf3_parsers",
+    B.sql("SELECT id, ends_with(file_name, '.md') OR ends_with(file_name, '.txt') AS parsed, CASE WHEN ends_with(file_name, '.md') THEN file_name || chr(10) || chr(10) || 'kept as it is: ' || id WHEN ends_with(file_name, '.txt') THEN '# ' || file_name || chr(10) || chr(10) || 'kept as it is: **' || id || '**' END AS text FROM registry", B.REGISTRY),
+)
 def parsers(spark, sf):
-    r = B.registry(spark, sf).withColumn("content", F.concat(F.lit("# "), F.col("file_name")))
-    yes, no = S.parse(r)
-    return yes.select("id", F.lit(True).alias("parsed")).unionByName(no.select("id", F.lit(False).alias("parsed")))
+    """Contents with marks, which the parser of one kind takes away and the other's leaves; no parser for the other kinds."""
+    content = F.concat(F.lit("# "), "file_name", F.lit("\n\nkept as it is: **"), "id", F.lit("**"))
+    yes, no = S.parse(B.registry(spark, sf).withColumn("content", content))
+    return yes.select("id", F.lit(True).alias("parsed"), "text").unionByName(no.select("id", F.lit(False).alias("parsed"), F.lit(None).cast("string").alias("text")))
 
 
 @query("src5_snk1_vectors_written", "SELECT vec_id AS id, 'file' || label AS file_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 6) AS squares FROM embeddings")
@@ -81,14 +85,14 @@ def append(spark, sf):
     return spark.read.parquet(path).agg(F.count("*").alias("n"))
 
 
-@query("src1_list_files", f"SELECT DISTINCT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, '{X.UNKNOWN_MIME}' AS mime, true AS named, true AS filled FROM documents")
+@query("src1_list_files", f"SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, '{X.UNKNOWN_MIME}' AS mime, count(DISTINCT doc_id % 8) AS n_files, count(DISTINCT doc_id % 8) AS n_ids, true AS named, true AS filled FROM documents GROUP BY lang")
 def list_files(spark, sf):
     """The files of the documents written by language: of each folder below, how its files are listed."""
     path = folder(spark, "listed")
-    B.read(spark, sf, "documents").repartition("lang", F.pmod("doc_id", F.lit(8))).write.partitionBy("lang").parquet(path)
+    B.read(spark, sf, "documents").withColumn("eighth", F.pmod("doc_id", F.lit(8))).repartition("lang", "eighth").write.partitionBy("lang", "eighth").parquet(path)
     files = S.list_files(spark, path).filter(F.col("name").startswith("part-")).withColumn("lang", F.regexp_extract("path", "/lang=([^/]*)/", 1))
     named = (F.col("name") == F.concat("id", F.lit(".parquet"))) & F.col("path").endswith(F.concat(F.lit("/"), "name"))
-    return files.groupBy("lang", "mime").agg(F.bool_and(named).alias("named"), F.bool_and(F.col("size") > 0).alias("filled"))
+    return files.groupBy("lang", "mime").agg(F.count("*").alias("n_files"), F.countDistinct("path").alias("n_ids"), F.bool_and(named).alias("named"), F.bool_and(F.col("size") > 0).alias("filled"))
 
 
 @query("src2_read_texts", "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents")
@@ -100,9 +104,14 @@ def read_texts(spark, sf):
     return lines.select("d.doc_id", F.md5("d.text").alias("digest"))
 
 
-@query("dom1_ingest")
+@query(
+    "dom1_ingest",
+    f"""SELECT doc_id, 'doc' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.pdf' ELSE '.txt' END AS file_name, CASE WHEN doc_id % 10 = 0 THEN 'failed' ELSE 'completed' END AS status,
+        CASE WHEN doc_id % 10 = 0 THEN 0 ELSE coalesce(n, 0) END AS segment_count
+        FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({packed_sql("sentence", CLEAN, 1000, 200)}) GROUP BY doc_id) USING (doc_id)""",
+)
 def ingest(spark, sf):
-    """Documents as files: cleaned, chunked, embedded, written as chunks, segments and registry."""
+    """Documents as files: cleaned, chunked, embedded, written as chunks, segments and registry; files that can't be parsed fail."""
     d = B.read(spark, sf, "documents")
     kind = F.when(F.col("doc_id") % 10 == 0, ".pdf").otherwise(".txt")
     path = folder(spark, "ingest")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from docspark.functions import chunks as C
@@ -283,9 +285,17 @@ def chunk_id(spark, sf):
     return B.chunks(spark, sf).select(F.col("id").alias("vec_id"), C.chunk_id(F.col("file_id"), F.col("position")).alias("chunk_id"))
 
 
-@query("chk1_dispatch", f"SELECT doc_id, count(*) AS n_chunks FROM (SELECT doc_id, unnest(range(0, CAST(greatest(1, ceil((len(w) - 200) / 800.0)) AS BIGINT))) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(w) > 0) GROUP BY doc_id")
+@query(
+    "chk1_dispatch",
+    f"""SELECT 'sentence' AS kind, doc_id, count(*) AS n_chunks FROM ({packed_sql("sentence", "text", 200, 40)}) GROUP BY doc_id
+        UNION ALL SELECT unnest(['paragraph', 'unheard of']), doc_id, count(*) FROM ({packed_sql("paragraph", "text", 200, 40)}) GROUP BY doc_id
+        UNION ALL SELECT 'token', doc_id, CAST(greatest(1, ceil((len(w) - 40) / 160.0)) AS BIGINT) FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(w) > 0""",
+)
 def dispatch(spark, sf):
-    return C.chunk(docs(spark, sf).select("doc_id", "text"), "token").groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    """Chunks of each kind, asked for by its name; an unknown name is cut by paragraphs."""
+    d = docs(spark, sf).select("doc_id", "text")
+    made = [C.chunk(d, kind, 200, 40).select(F.lit(kind).alias("kind"), "doc_id") for kind in ("sentence", "paragraph", "unheard of", "token")]
+    return reduce(lambda a, b: a.unionByName(b), made).groupBy("kind", "doc_id").agg(F.count("*").alias("n_chunks"))
 
 
 @query("chk11_checked_rows", "SELECT count(*) AS n FROM documents WHERE trim(coalesce(text, '')) <> ''")
