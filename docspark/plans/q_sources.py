@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -137,9 +137,9 @@ def arrivals(spark, sf, name: str, *order: str):
 
     path = folder(spark, name)
     e = B.task_events(spark, sf)
-    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    first, last = (t or datetime(1970, 1, 1) for t in e.agg(F.min("ts"), F.max("ts")).first())
     e.unionByName(e).repartitionByRange(*order).write.parquet(f"{path}/in")
-    beat = e.limit(1).select(*(F.lit(last + timedelta(days=3) if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in e.schema))
+    beat = spark.range(1).select(*(F.lit(last + timedelta(days=3) if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in e.schema))
     beat.coalesce(1).write.mode("append").parquet(f"{path}/in")
     return T.read_events(spark, f"{path}/in", e.schema, files=1_000_000), (last - first).days + 1, path
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -131,8 +131,8 @@ REMEMBERED_SQL = ev(
 def remembered(spark, sf):
     """The state of tasks that is forgotten after a week without an event, three days after the newest event."""
     e = B.task_events(spark, sf)
-    now = e.agg(F.max("ts")).first()[0] + timedelta(days=3)
-    return K.remembered(events(spark, sf), F.lit(now))
+    newest = e.agg(F.max("ts")).first()[0] or datetime(1970, 1, 1)
+    return K.remembered(events(spark, sf), F.lit(newest + timedelta(days=3)))
 
 
 RETRIES_SQL = ev("SELECT task_id, document_id, type, unnest(range(1, least(n, 2) + 1)) AS attempt FROM (SELECT task_id, min_by(document_id, {'a': ts, 'b': event_id}) AS document_id, min_by(type, {'a': ts, 'b': event_id}) AS type, count(*) AS n FROM valid WHERE status = 'failed' GROUP BY task_id)", VALID)
