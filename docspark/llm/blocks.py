@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.frames import stored
+from docspark.llm.tokens import forget
 from docspark.llm.words import slices
 
 BLOCK_BYTES = 1_000_000
@@ -165,6 +166,7 @@ def each_block(blocks: DataFrame, make: Callable[[dict], Iterator[pa.RecordBatch
     """Applies `make` to every block, a dict of its columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for k in range(batch.num_rows):
                 yield from make({n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)})

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.frames import add_columns
+from docspark.llm.tokens import forget
 from docspark.llm.words import slices, utf8
 
 #: Training texts of each language at most; the sample is fixed by a hash of the id.
@@ -261,6 +262,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, bounded by the training sample
 
     def make(part: pa.RecordBatch) -> list[pa.Array]:
+        forget()
         texts, learned = part.column(part.schema.get_field_index(text)).to_pylist(), sent.value
         if learned is None:
             return [pa.array([UNKNOWN] * len(texts), pa.string()), pa.array([0.0] * len(texts), pa.float64()), pa.array([False] * len(texts), pa.bool_())]
