@@ -22,6 +22,11 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero; what is below zero keeps its sign, also where -0.0 is left, as in SQL on doubles."""
+    return F.when(x == 0, x).when(x < 0, -F.round(-x, digits)).otherwise(F.round(x, digits))
+
+
 def normalise(v: Column, zero_below: float = TINY) -> Column:
     """Length one; a vector shorter than `zero_below` becomes zeros."""
     n = norm(v)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
+from docspark.functions import vector as V
 
 #: Fixed value: what stands for a context without hits.
 NO_CONTEXT = "No relevant context information found."
@@ -92,5 +93,5 @@ def route_prompt(route: Column, question: Column, rag_prompt: Column) -> Column:
 
 def sources(hits: DataFrame, k: int) -> DataFrame:
     """(question_id, sources): the first k hits as retrieved, with previews of their texts."""
-    one = F.struct("rank", "file_id", "position", X.preview("text").alias("text"), F.round("score", 2).alias("score"))
+    one = F.struct("rank", "file_id", "position", X.preview("text").alias("text"), V.rounded(F.col("score"), 2).alias("score"))
     return hits.filter(F.col("rank") <= k).groupBy("question_id").agg(F.sort_array(F.collect_list(one)).alias("sources"))

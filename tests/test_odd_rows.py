@@ -33,3 +33,14 @@ def test_words_that_cancel(spark, tmp_path):
     documents = pa.table({"doc_id": pa.array(range(5), pa.int64()), "text": pa.array(texts, pa.string())})
     got, want = both(spark, tmp_path, "udf6_model_fallback", documents=documents)
     assert got == want and len(got) == 3
+
+
+def test_small_values_below_zero(spark, tmp_path):
+    """What rounds to zero from below is -0.0."""
+    vectors = [[1.0, -3e-7, 3e-7, -2.5], [-4e-8, 0.0, 0.5, -0.0], [0.0] * 4]
+    embeddings = pa.table({"vec_id": pa.array([0, 1, 2], pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([0, 0, 1], pa.int32())})
+    for name in ("vec3_vec4_normalise", "vec1_vec9_distances"):
+        got, want = both(spark, tmp_path, name, embeddings=embeddings)
+        if name.startswith("vec1"):  # the cosine with a zero vector is no number in its SQL
+            got, want = got[:2], want[:2]
+        assert got == want, name
