@@ -10,7 +10,7 @@ for a pair of vectors.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ BLOCK = 4096
 #: Questions whose vectors have at most so many bytes together are broadcast; others meet the chunks in a grid.
 BROADCAST_BYTES = 16_000_000
 GRID = 8
+#: Scores that a task holds at a time; a few arrays of this length are made.
+SCORES = 1 << 20
 #: Lists of an index at most; the centres are sent to all tasks.
 MOST_LISTS = 16_384
 
@@ -74,6 +76,12 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; those shorter than V.TINY become zeros."""
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.where(size < V.TINY, 0, m / np.where(size < V.TINY, 1, size))
+
+
 def _same_length(q: np.ndarray, c: np.ndarray) -> None:
     if q.shape[1] != c.shape[1]:
         raise ValueError(f"questions have vectors of length {q.shape[1]}, chunks of length {c.shape[1]}")
@@ -125,6 +133,35 @@ def _scores(q: np.ndarray, c: np.ndarray, kind: str) -> np.ndarray:
     return np.where(size == 0, 0, np.clip(q @ c.T / np.where(size == 0, 1, size), -1, 1))
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, of which only one at a time is copied."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _few(questions: int, chunks: int) -> Iterator[slice]:
+    """So many questions at a time that they make at most SCORES scores with the chunks."""
+    step = max(1, SCORES // max(1, chunks))
+    return (slice(at, at + step) for at in range(0, questions, step))
+
+
+def _found(q_ids: np.ndarray, c_ids: np.ndarray, scores: np.ndarray, k: int, digits: int, min_score: float) -> pa.RecordBatch:
+    """(question_id, id, score): the best k of each row of scores, rounded first, ties by id; all of at least `min_score` for k of 0 or less."""
+    scores = np.where(np.isnan(scores), -np.inf, scores)
+    least = np.full(len(scores), min_score)
+    if 0 < k < scores.shape[1]:
+        least = np.maximum(np.partition(scores, -k, axis=1)[:, -k], min_score)
+    row, at = np.nonzero(scores >= least[:, None] - 10.0**-digits)
+    value = np.round(scores[row, at], digits)
+    order = np.lexsort((c_ids[at], -value, row))
+    row, at, value = row[order], at[order], value[order]
+    ok = (value >= min_score) & (value > -np.inf)
+    if k > 0:
+        ok &= np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pa.RecordBatch.from_arrays([pa.array(q_ids[row[ok]], pa.int64()), pa.array(c_ids[at[ok]], pa.int64()), pa.array(value[ok], pa.float64())], names=["question_id", "id", "score"])
+
+
 def top_k(
     chunks: DataFrame, questions: DataFrame, k: int = 5, kind: str = "cosine", min_score: float = 0.0, chunk_id: str = "id", question_id: str = "id",
     chunk_scope: str | None = None, question_scope: str | None = None, digits: int = 6,
@@ -144,23 +181,13 @@ def top_k(
         raise ValueError(f"unknown distance {kind!r}; known are {', '.join(V.KINDS)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q = np.frombuffer(row["q_vectors"], "<f8").reshape(len(row["q_ids"]), -1)
-                c = np.frombuffer(row["c_vectors"], "<f8").reshape(len(row["c_ids"]), -1)
-                _same_length(q, c)
-                scores = np.round(_scores(q, c, kind), digits)
-                ok = scores >= min_score
-                ids = np.array(row["c_ids"])
-                found_q, found_c, found_s = [], [], []
-                for i in range(len(q)):
-                    at = np.flatnonzero(ok[i])
-                    if 0 < k < len(at):
-                        at = at[np.lexsort((ids[at], -scores[i, at]))[:k]]
-                    found_q += [row["q_ids"][i]] * len(at)
-                    found_c += ids[at].tolist()
-                    found_s += scores[i, at].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(found_q, pa.int64()), pa.array(found_c, pa.int64()), pa.array(found_s, pa.float64())], names=["question_id", "id", "score"])
+        for row in _rows(batches):
+            q = np.frombuffer(row["q_vectors"], "<f8").reshape(len(row["q_ids"]), -1)
+            c = np.frombuffer(row["c_vectors"], "<f8").reshape(len(row["c_ids"]), -1)
+            _same_length(q, c)
+            q_ids, c_ids = np.array(row["q_ids"]), np.array(row["c_ids"])
+            for at in _few(len(q), len(c)):
+                yield _found(q_ids[at], c_ids, _scores(q[at], c, kind), k, digits, min_score)
 
     scoped = bool(question_scope and chunk_scope)
     c, q = _sound(chunks, chunk_id, chunk_scope if scoped else None), _sound(questions, question_id, question_scope if scoped else None)
@@ -184,34 +211,74 @@ def search_one(chunks: DataFrame, vector: list[float], k: int = 5, kind: str = "
     return ordered.limit(k) if k > 0 else ordered
 
 
+def _buckets(rows: DataFrame, names: str, signs: Callable[[np.ndarray], np.ndarray], kind: str) -> DataFrame:
+    """(key, ids, vectors): blocks of the vectors that share a key; `signs` gives the keys of a matrix's rows, one column at a time."""
+    schema, value = f"key bigint, {names}_ids binary, {names}_vectors binary", np.dtype(kind)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch's rows by key: a small block for each key that is there."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+            for key in signs(m):
+                order = np.argsort(key, kind="stable")
+                found, begin = np.unique(key[order], return_index=True)
+                offsets = np.append(begin, len(key))
+                packed = lambda x: pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer((offsets * (x.nbytes // len(x))).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x[order]))])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), packed(ids), packed(m.astype(value))], names=["key", f"{names}_ids", f"{names}_vectors"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Small blocks of a key that follow each other as blocks of about BLOCK rows at most."""
+        key, ids, vectors, n = None, [], [], 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([b"".join(ids)], pa.binary()), pa.array([b"".join(vectors)], pa.binary())], names=["key", f"{names}_ids", f"{names}_vectors"])
+        for row in _rows(batches):
+            more = len(row[f"{names}_ids"]) // 8
+            if ids and (row["key"] != key or n + more > BLOCK):
+                yield done()
+                ids, vectors, n = [], [], 0
+            key, n = row["key"], n + more
+            ids.append(row[f"{names}_ids"])
+            vectors.append(row[f"{names}_vectors"])
+        if ids:
+            yield done()
+
+    small = rows.mapInArrow(split, schema)
+    return small.repartition("key").sortWithinPartitions("key").mapInArrow(merge, schema)
+
+
 def lsh_neighbours(chunks: DataFrame, questions: DataFrame, k: int = 5, bits: int = 8, tables: int = 40, seed: int = 7, probes: int = 1) -> DataFrame:
-    """Approximate (question_id, id, score, rank) by random hyperplanes: an equi-join on (table, signs), re-scored exactly.
+    """Approximate (question_id, id, score, rank) by random hyperplanes: an equi-join on (table, signs), scored exactly.
 
     Questions also probe the keys that differ in one sign (`probes` = 1).  Every
-    chunk is indexed; the planes are fixed by the seed.
+    chunk is indexed; the planes are fixed by the seed.  What shares a key is packed
+    into blocks, and a pair of blocks is scored by matrix products, of which only
+    the best k of a question leave: no row is made for a pair of vectors.  On vectors without
+    clusters most pairs share a key in some table, so scores still grow with questions times chunks.
     """
+    single = all(s.schema["vector"].dataType.elementType.simpleString() == "float" for s in (chunks, questions))
+    flips = [0, *(1 << b for b in range(bits))] if probes else [0]
 
-    def keys(df: DataFrame, id_column: str, probe: int, names: str) -> DataFrame:
-        rows = _sound(df, id_column).select("id", V.normalise(F.col("vector")).alias("vector"))
+    def keys(m: np.ndarray, flips: list[int]) -> Iterator[np.ndarray]:
+        unit = _unit(m)
+        planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((m.shape[1], tables * bits))
+        signs = (unit @ planes > 0).reshape(len(m), tables, bits)
+        key = (signs << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
+        return (key[:, t] ^ f for t in range(tables) for f in flips)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                m = _matrix(batch.column(1))
-                planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((m.shape[1], tables * bits))
-                signs = (m @ planes > 0).reshape(len(m), tables, bits)
-                key = (signs << np.arange(bits)).sum(2)
-                flips = [0, *(1 << b for b in range(bits))] if probe else [0]
-                key = np.stack([key ^ f for f in flips], 2) + (np.arange(tables) << bits)[None, :, None]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.reshape(len(m), -1).tolist(), pa.list_(pa.int64())), batch.column(1)], names=[f"{names}_id", "keys", f"{names}_vector"])
-
-        return rows.mapInArrow(run, f"{names}_id bigint, keys array<bigint>, {names}_vector array<double>")
-
-    c, q = keys(chunks, "id", 0, "c"), keys(questions, "id", probes, "q")
-    near = q.select("q_id", F.explode("keys").alias("key")).join(c.select("c_id", F.explode("keys").alias("key")), "key").select("q_id", "c_id").distinct()
-    scored = near.join(c.select("c_id", "c_vector"), "c_id").join(q.select("q_id", "q_vector"), "q_id")
-    scored = scored.select(F.col("q_id").alias("question_id"), F.col("c_id").alias("id"), F.round(V.dot(F.col("q_vector"), F.col("c_vector")), 6).alias("score"))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
+            q, c = (_unit(np.frombuffer(row[f"{x}_vectors"], kind).astype(np.float64).reshape(len(ids), -1)) for x, ids in (("q", q_ids), ("c", c_ids)))
+            _same_length(q, c)
+            for at in _few(len(q), len(c)):
+                yield _found(q_ids[at], c_ids, q[at] @ c.T, k, 6, -np.inf)
+
+    kind = "<f4" if single else "<f8"
+    c = _buckets(_sound(chunks, "id").select("id", "vector"), "c", lambda m: keys(m, [0]), kind)
+    q = _buckets(_sound(questions, "id").select("id", "vector"), "q", lambda m: keys(m, flips), kind)
+    near = c.join(q, "key").mapInArrow(score, "question_id bigint, id bigint, score double")
+    scored = near.groupBy("question_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("id").asc())
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
