@@ -104,14 +104,18 @@ def _blocks(rows: DataFrame, names: str) -> DataFrame:
 
 
 def _met(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Blocks of chunks beside blocks of questions with the same key.
+    """Blocks of chunks beside blocks of questions with the same key."""
+    size = questions.agg(F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))).first()[0]
+    return _beside(_blocks(chunks, "c"), _blocks(questions, "q"), size)
+
 
-    The questions are broadcast if there are so few that their vectors have at most
-    BROADCAST_BYTES; otherwise both sides are shuffled by their key, which is
+def _beside(c: DataFrame, q: DataFrame, size: int) -> DataFrame:
+    """Both sides' blocks joined by their key.
+
+    The questions are broadcast if there are so few that they have at most
+    BROADCAST_BYTES (their `size`); otherwise both sides are shuffled by their key, which is
     divided into a grid so that one key is met by many tasks.
     """
-    c, q = _blocks(chunks, "c"), _blocks(questions, "q")
-    size = questions.agg(F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         return c.join(F.broadcast(q), "key")
     side = F.sequence(F.lit(0), F.lit(GRID - 1))
@@ -297,9 +301,9 @@ def inverted_lists(
     Centres are fitted on a sample of at most `sample` rows (those with the least
     hashes of their ids); every chunk belongs to the list of its nearest centre.
     The number of lists follows the number of chunks.  A list's vectors are kept
-    as one byte a value in blocks by list and scope; a block is scored against the
-    questions that look into it by one matrix product, and only the best
-    `again` * k of each leave it.  The best of these are scored again by their whole
+    as one byte a value in blocks by list and scope; a block meets the blocks of
+    questions, each of its lists is scored by one matrix product against those that look into
+    it, and only the best `again` * k of each leave the pair.  The best of these are scored again by their whole
     vectors, so that no more than `again` * k pairs of a question are rows.
 
     Scopes as in `top_k`; where there are scopes, `scoped_share` of the lists is
@@ -314,55 +318,83 @@ def inverted_lists(
     centres = _kmeans(_matrix(picked.column(0).combine_chunks()), lists, seed) if picked.num_rows else np.zeros((1, 1))
     probes, keep = max(1, math.ceil((scoped_share if scoped else share) * len(centres))), again * k
 
-    def nearest(df: DataFrame, n: int) -> DataFrame:
-        """The rows with the n lists nearest to them."""
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks with their list, one byte a value, and what a unit of it stands for."""
+        for batch in batches:
+            if batch.num_rows:
+                m = _matrix(batch.column(2))
+                _same_length(m, centres)
+                most = np.maximum(np.abs(m).max(axis=1, keepdims=True), 1e-12)
+                codes = np.round(m / most * 127).astype(np.int8)
+                columns = [*batch.columns[:2], pa.array((m @ centres.T).argmax(1), pa.int32()), pa.array(most[:, 0] / 127, pa.float64()), pa.array([c.tobytes() for c in codes], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "scope", "list", "scale", "code"])
+
+    stored = rows.select("id", "scope", unit).mapInArrow(placed, "id bigint, scope string, list int, scale double, code binary")
+
+    def chunk_blocks(key: Column) -> DataFrame:
+        """(key, ids, lists, scales, codes): chunks of a key by their lists."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    m = _matrix(batch.column(2))
-                    _same_length(m, centres)
-                    near = np.argpartition(-(m @ centres.T), min(n, len(centres)) - 1, axis=1)[:, :n] if n > 1 else (m @ centres.T).argmax(1)[:, None]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=["id", "scope", "vector", "lists"])
+                keys = batch.column(0).to_pylist()
+                cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+                for begin, end in zip(cuts, cuts[1:], strict=False):
+                    for at in range(begin, end, BLOCK):
+                        part = batch.slice(at, min(BLOCK, end - at))
+                        lists, ids, scales = (part.column(i).to_numpy(zero_copy_only=False).tobytes() for i in (1, 2, 3))
+                        columns = [[keys[at]], [ids], [lists], [scales], [b"".join(part.column(4).to_pylist())]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i == 0 else pa.binary()) for i, x in enumerate(columns)], names=["key", "c_ids", "c_lists", "c_scales", "c_codes"])
 
-        return df.select("id", "scope", unit).mapInArrow(run, "id bigint, scope string, vector array<double>, lists array<int>")
+        given = stored.select(key.alias("key"), "list", "id", "scale", "code").filter("key IS NOT NULL")
+        # A list that holds much is dealt over some tasks.
+        given = given.repartition("list", F.pmod(F.xxhash64("id"), F.lit(GRID))).sortWithinPartitions("key", "list", "id")
+        return given.mapInArrow(run, "key string, c_ids binary, c_lists binary, c_scales binary, c_codes binary")
 
-    def packed(df: DataFrame, n: int, names: str, kind: str) -> DataFrame:
-        """(list, scope, ids, codes): blocks of a list's and scope's vectors in one number of this kind a value."""
-        placed = nearest(df, n).select(F.explode("lists").alias("list"), "scope", "id", "vector")
-        placed = placed.repartition("list", F.pmod(F.xxhash64("id"), F.lit(GRID))).sortWithinPartitions("list", "scope", "id")
+    def question_blocks(key: Column) -> DataFrame:
+        """(key, ids, vectors, looks): a bit for each question and list, set where the question looks into the list."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                where, scope = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                cuts = [0, *(i for i in range(1, len(where)) if where[i] != where[i - 1] or scope[i] != scope[i - 1]), len(where)]
+                keys = batch.column(0).to_pylist()
+                cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if keys else []
                 for begin, end in zip(cuts, cuts[1:], strict=False):
                     for at in range(begin, end, BLOCK):
                         part = batch.slice(at, min(BLOCK, end - at))
-                        m = _matrix(part.column(3))
-                        most = np.maximum(np.abs(m).max(axis=1, keepdims=True), 1e-12)
-                        codes = np.round(m / most * 127).astype(np.int8) if kind == "int8" else m.astype(np.float32)
-                        scales = (most[:, 0] / 127).tolist() if kind == "int8" else [1.0] * len(m)
-                        columns = [pa.array([where[at]], pa.int32()), pa.array([scope[at]], pa.string()), pa.array([part.column(2).to_pylist()], pa.list_(pa.int64())), pa.array([scales], pa.list_(pa.float64())), pa.array([codes.tobytes()], pa.binary())]
-                        yield pa.RecordBatch.from_arrays(columns, names=["list", f"{names}_scope", f"{names}_ids", f"{names}_scales", f"{names}_codes"])
+                        m = _matrix(part.column(2))
+                        _same_length(m, centres)
+                        looks = np.zeros((len(m), len(centres)), bool)
+                        np.put_along_axis(looks, np.argpartition(-(m @ centres.T), probes - 1, axis=1)[:, :probes], True, axis=1)
+                        columns = [[keys[at]], [part.column(1).to_numpy(zero_copy_only=False).tobytes()], [m.astype(np.float32).tobytes()], [np.packbits(looks, axis=1).tobytes()]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i == 0 else pa.binary()) for i, x in enumerate(columns)], names=["key", "q_ids", "q_vectors", "q_looks"])
 
-        return placed.mapInArrow(run, f"list int, {names}_scope string, {names}_ids array<bigint>, {names}_scales array<double>, {names}_codes binary")
+        given = asked.select(key.alias("key"), "id", unit).filter("key IS NOT NULL").sortWithinPartitions("key", "id")
+        return given.mapInArrow(run, "key string, q_ids binary, q_vectors binary, q_looks binary")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q = np.frombuffer(row["q_codes"], np.float32).reshape(len(row["q_ids"]), -1)
-                c = np.frombuffer(row["c_codes"], np.int8).reshape(len(row["c_ids"]), -1).astype(np.float32)
-                near = q @ c.T * np.array(row["c_scales"], np.float32)
-                n = min(keep, len(c))
-                at = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                ids = np.array(row["c_ids"])[at].ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row["q_ids"], n), pa.int64()), pa.array(ids, pa.int64()), pa.array(np.take_along_axis(near, at, 1).ravel().astype(np.float64))], names=["question_id", "id", "near"])
-
-    # A list's blocks are few and its questions many or the reverse; a list that holds much is split by AQE, block by block.
-    met = packed(asked, probes, "q", "float32").join(packed(rows, 1, "c", "int8"), "list")
+        for row in _rows(batches):
+            q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
+            q, c = np.frombuffer(row["q_vectors"], np.float32).reshape(len(q_ids), -1), np.frombuffer(row["c_codes"], np.int8).reshape(len(c_ids), -1).astype(np.float32)
+            scales, lists = np.frombuffer(row["c_scales"], np.float64).astype(np.float32), np.frombuffer(row["c_lists"], np.int32)
+            looks = np.unpackbits(np.frombuffer(row["q_looks"], np.uint8).reshape(len(q_ids), -1), axis=1, count=len(centres))
+            begins = np.flatnonzero(np.diff(lists, prepend=-1))
+            n = min(keep, len(c))
+            for at in _few(len(q), len(c)):
+                near = np.full((len(q[at]), len(c)), -np.inf, np.float32)
+                for begin, end in zip(begins, [*begins[1:], len(c)], strict=True):
+                    who = np.flatnonzero(looks[at, lists[begin]])
+                    near[who, begin:end] = q[at][who] @ c[begin:end].T * scales[begin:end]
+                best = np.argpartition(-near, n - 1, axis=1)[:, :n]
+                value = np.take_along_axis(near, best, 1)
+                ok = value > -np.inf
+                found = [pa.array(np.repeat(q_ids[at], n).reshape(value.shape)[ok], pa.int64()), pa.array(c_ids[best][ok], pa.int64()), pa.array(value[ok].astype(np.float64))]
+                yield pa.RecordBatch.from_arrays(found, names=["question_id", "id", "near"])
+
+    # A row for each pair of blocks; questions and lists are bits, so nothing grows with the lists that a question looks into.
+    size = asked.agg(F.coalesce(F.sum(4 * F.size("vector") + len(centres) // 8 + 8), F.lit(0))).first()[0]
+    everywhere = F.lit("*")
+    met = _beside(chunk_blocks(everywhere), question_blocks(F.when(F.col("scope").isNull(), everywhere) if scoped else everywhere), size)
     if scoped:
-        met = met.filter("q_scope IS NULL OR q_scope = c_scope")
+        met = met.unionByName(_beside(chunk_blocks(F.col("scope")), question_blocks(F.col("scope")), size))
     found = met.mapInArrow(score, "question_id bigint, id bigint, near double")
     closest = Window.partitionBy("question_id").orderBy(F.col("near").desc(), "id")
     found = found.withColumn("_n", F.row_number().over(closest)).filter(F.col("_n") <= keep).select("question_id", "id")

@@ -54,3 +54,14 @@ def test_hyperplanes(spark, monkeypatch):
         ranked = sorted((-round(float(unit[q] @ unit[c]), 6), c) for c in near)[:4]
         want += [(q, int(c), -s, r + 1) for r, (s, c) in enumerate(ranked)]
     assert sorted((r.question_id, r.id, r.score, r["rank"]) for r in found.collect()) == sorted(want)
+
+
+def test_inverted_lists_in_blocks(spark, monkeypatch):
+    """No row for a question and a list; the same however the blocks are cut and met."""
+    chunks, _ = vectors(spark, 300, copies=60)
+    search = lambda: S.inverted_lists(chunks, chunks.filter("id % 10 = 0"), k=4)
+    assert "Generate" not in search()._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(map(tuple, search().collect()))
+    for name, value in (("BLOCK", 16), ("SCORES", 64), ("BROADCAST_BYTES", 0)):
+        monkeypatch.setattr(S, name, value)
+    assert sorted(map(tuple, search().collect())) == whole and len(whole) == 120
