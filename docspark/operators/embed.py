@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
@@ -60,16 +59,19 @@ def resolve(name: str | None) -> str:
 
 
 def embed_column(text: Column | str, model: str | None = None, batch: int = 16) -> Column:
-    """array<float>: the model is made once for each batch of rows that Spark hands over, and fed `batch` texts at a time."""
-    make = EMBEDDERS[resolve(model)][0]
-
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embed = make()
-        for part in parts:
-            texts = part.fillna("").tolist()
-            rows = [r for k in range(0, len(texts), batch) for r in embed(texts[k : k + batch])]
-            yield pd.Series(rows)
+    """array<float>: the model is made once for each task, and fed `batch` texts at a time; only those leave Arrow's memory."""
+    make, dimension = EMBEDDERS[resolve(model)]
+    made: list[Embed] = []
+
+    # Not over an iterator: columns of that kind would each have a worker of their own.
+    @F.arrow_udf("array<float>")
+    def run(part: pa.Array) -> pa.Array:
+        if not made:
+            made.append(make())
+        vectors = np.empty((len(part), dimension), np.float32)
+        for k in range(0, len(part), batch):
+            vectors[k : k + batch] = made[0]([t or "" for t in part.slice(k, batch).to_pylist()])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * dimension, pa.int32()), pa.array(vectors.ravel(), pa.float32()))
 
     return run(text)
 

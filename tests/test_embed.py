@@ -58,3 +58,12 @@ def test_a_model_of_the_wrong_shape(spark, monkeypatch):
     calls = []
     E._in_batches(lambda texts: calls.append(len(texts)) or np.zeros((len(texts), 2)), ["a"] * 37, 16, 2)
     assert calls == [16, 16, 5]
+
+
+def test_columns_share_a_worker(spark):
+    """Two embedded columns are one step; null and blank texts give zeros."""
+    df = spark.createDataFrame([(i, f"word{i} " * (i % 5), None if i % 3 else "two  words") for i in range(50)], "id int, a string, b string")
+    both = df.select("id", E.embed_column("a", "counted-64").alias("a"), E.embed_column("b", "counted-64").alias("b"))
+    assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r, given in zip(both.orderBy("id").collect(), df.orderBy("id").collect(), strict=True):
+        assert np.array_equal(r.a, counted(given.a)) and np.array_equal(r.b, counted(given.b or ""))
