@@ -44,3 +44,24 @@ def test_small_values_below_zero(spark, tmp_path):
         if name.startswith("vec1"):  # the cosine with a zero vector is no number in its SQL
             got, want = got[:2], want[:2]
         assert got == want, name
+
+
+def test_state_of_events_without_a_time():
+    """The fold takes the earliest and latest times that are there, and few steps for a task of few events."""
+    import cProfile
+    import pstats
+
+    import pandas as pd
+
+    from docspark.streaming.tasks import Task
+
+    at = lambda s: pd.Timestamp(f"2024-01-01 00:00:0{s}")
+    rows = pd.DataFrame({"event_id": [1, 2, 3, 4], "ts": [at(1), at(2), at(3), pd.NaT], "status": ["processing", "failed", "completed", "processing"], "props": [None, "a", None, None]})
+    task = Task()
+    with cProfile.Profile() as p:
+        task.add(rows.iloc[:3])
+    assert (task.status, task.started, task.ended, task.result, task.failures, task.events) == ("completed", at(1), at(3), "a", 1, 3)
+    assert pstats.Stats(p).total_calls < 1500
+    late = Task()
+    late.add(rows)
+    assert (late.started, late.ended, late.events) == (at(1), at(3), 4) and late.stored()[4] is pd.NaT
