@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.frames import stored
 from docspark.llm.tokens import forget
-from docspark.llm.words import slices
+from docspark.llm.words import give_back, slices
 
 BLOCK_BYTES = 1_000_000
 #: A document's number is its block's number and its row in 16 bits.
@@ -168,6 +168,7 @@ def each_block(blocks: DataFrame, make: Callable[[dict], Iterator[pa.RecordBatch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
+            give_back()
             for k in range(batch.num_rows):
                 yield from make({n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)})
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from docspark.llm.words import slices
+from docspark.llm.words import give_back, slices
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -84,6 +84,7 @@ def add_columns(df: DataFrame, text: str, fields: str, make: Callable[[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for part in slices(batch, text):
                 made = make(part)
                 kept = [(n, part.column(i)) for i, n in enumerate(part.schema.names) if n not in new.names]

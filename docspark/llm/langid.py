@@ -162,6 +162,15 @@ def _features(sets: list[np.ndarray], label: np.ndarray, languages: int) -> np.n
     return np.unique(np.concatenate(found))
 
 
+def _unit(sets: list[np.ndarray], features: Features, size: int) -> np.ndarray:
+    """One row for each set, divided by the root of its length."""
+    out = np.zeros((len(sets), size))
+    for row, s in zip(out, sets, strict=True):
+        number = features.find(s)
+        row[number[number >= 0]] = 1 / np.sqrt(max(len(s), 1))
+    return out
+
+
 def _bars(sets: list[np.ndarray], label: np.ndarray, languages: int) -> np.ndarray:
     """The bar of each language, by what half of the sample knows of the texts in the other half.
 
@@ -227,17 +236,14 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     first = rank <= LANDMARKS_PER_LANGUAGE
     wanted = np.unique(np.concatenate([s for s, mark in zip(sets, first, strict=True) if mark]))
     features = Features(wanted)
-    has = np.zeros((len(sets), len(wanted)), np.float32)
-    for k, s in enumerate(sets):
-        number = features.find(s)
-        has[k, number[number >= 0]] = 1
-    unit = has / np.sqrt(np.maximum([len(s) for s in sets], 1))[:, None]
-    landmarks = unit[first]
+    landmarks = _unit([s for s, mark in zip(sets, first, strict=True) if mark], features, len(wanted))
     within = (landmarks @ landmarks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(within)
     good = values > 1e-6 * values.max() if len(values) else values > 0
     root = vectors[:, good] / np.sqrt(values[good])
-    mapped = (unit @ landmarks.T).astype(np.float64) @ root
+    # The sample's rows are made a part at a time: all of them are several times the landmarks.
+    kernel = [_unit(sets[k : k + TOGETHER], features, len(wanted)) @ landmarks.T for k in range(0, len(sets), TOGETHER)]
+    mapped = np.concatenate(kernel) @ root
     target = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Each language weighs the same, however many texts it has.
     weight = (1 / np.bincount(label, minlength=len(languages)))[label][:, None]

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.llm.frames import add_columns, free_name, stored
-from docspark.llm.tokens import Encoder, encoder
-from docspark.llm.words import slices, utf8
+from docspark.llm.tokens import VOCABULARIES, Encoder, encoder
+from docspark.llm.words import give_back, slices, utf8
 
 #: Texts of more characters are cut into chunks.
 GIANT = 50_000
@@ -182,14 +182,11 @@ def _before(texts: pa.Array) -> pa.Array:
     return pa.compute.if_else(pa.compute.equal(texts, nothing), texts, pa.compute.binary_join_element_wise(space, texts, nothing))
 
 
-_VOCABULARIES: dict[int, Vocabulary] = {}
-
-
 def vocabulary(mark: int, model: bytes) -> Vocabulary:
-    if mark not in _VOCABULARIES:
-        _VOCABULARIES.clear()
-        _VOCABULARIES[mark] = Vocabulary(model)
-    return _VOCABULARIES[mark]
+    if mark not in VOCABULARIES:
+        VOCABULARIES.clear()
+        VOCABULARIES[mark] = Vocabulary(model)
+    return VOCABULARIES[mark]
 
 
 def encode_by_merges(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -249,7 +246,8 @@ def _best(mark: int, sent):
     def best(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         v, texts = vocabulary(mark, sent.value), _before(texts)
         if v.splits:
-            fresh = lambda: Encoder(lambda said: [v.encode(x.replace(" ", MARK)) for x in said], np.uint32, space_cuts)
+            kind = np.uint16 if len(v.pieces) <= 1 << 16 else np.uint32
+            fresh = lambda: Encoder(lambda said: [v.encode(x.replace(" ", MARK)) for x in said], kind, space_cuts)
             return encoder(("pieces", mark), fresh)(texts)
         runs = [v.encode(x.replace(" ", MARK)) for x in texts.to_pylist()]
         return np.array([i for r in runs for i in r], np.uint32), np.concatenate([[0], np.cumsum([len(r) for r in runs])])
@@ -283,6 +281,7 @@ def _giants(docs: DataFrame, mark: int, sent, longest: int, text: str, chunk: in
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = {"binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
             for batch in batches:
+                give_back()
                 for part in slices(batch, "said"):
                     rows = [run(vocabulary(mark, sent.value), *r) for r in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, kinds[kind])], names=["_key", "k", name])
@@ -375,11 +374,13 @@ def digests(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for part in slices(batch, "text"):
                 yield digest(part.column(0), part.column(1).to_pylist(), *best(part.column(1)))
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for part in slices(batch, "text"):
                 ids = part.column(2)
                 yield digest(part.column(0), part.column(1).to_pylist(), ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))]))

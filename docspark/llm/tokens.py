@@ -15,8 +15,9 @@ import pyarrow as pa
 
 from docspark.llm.words import WHITE, Hasher, utf8
 
-#: Distinct pieces a worker remembers.
+#: Distinct pieces a worker remembers, and the bytes that they and their runs may take.
 STORE_PIECES = 1_500_000
+STORE_BYTES = 64_000_000
 #: New pieces given to a library at once; its objects for them live meanwhile.
 ENCODED_TOGETHER = 5_000
 HASHER = Hasher(8)
@@ -52,7 +53,7 @@ class Store:
 
     def clear(self) -> None:
         self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2
-        self.pool = np.zeros(1 << 16, self.kind)
+        self.pool = np.empty(1 << 16, self.kind)
         self.used = 0
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +75,9 @@ class Store:
         """The same for runs that stand one after the other in `flat`."""
         sizes, total = sizes.astype(np.int32), len(flat)
         if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, self.used), self.kind)])
+            grown = np.empty(self.used + max(total, self.used // 4), self.kind)
+            grown[: self.used] = self.pool[: self.used]
+            self.pool = grown
         self.pool[self.used : self.used + total] = flat
         level = (keys, self.used + np.cumsum(sizes) - sizes, sizes)
         self.used += total
@@ -87,11 +90,22 @@ class Store:
     def __len__(self) -> int:
         return sum(len(x[0]) for x in self.levels)
 
+    @property
+    def nbytes(self) -> int:
+        return self.pool.nbytes + sum(x.nbytes for level in self.levels for x in level)
+
 
 def _merge(a: tuple, b: tuple) -> tuple:
-    keys = np.concatenate([a[0], b[0]])
-    order = np.argsort(keys, kind="stable")
-    return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+    """Both in the order of their keys; no key is in both."""
+    at = np.searchsorted(a[0], b[0]) + np.arange(len(b[0]))
+    first = np.ones(len(a[0]) + len(b[0]), bool)
+    first[at] = False
+    merged = []
+    for x, y in zip(a, b, strict=True):
+        both = np.empty(len(first), x.dtype)
+        both[first], both[at] = x, y
+        merged.append(both)
+    return tuple(merged)
 
 
 class Encoder:
@@ -106,7 +120,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, self.store.kind), np.zeros(len(first), np.int64)
         keys, one, back = np.unique(HASHER.ranges(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.store) + len(keys) > STORE_PIECES:
+        if len(self.store) + len(keys) > STORE_PIECES or self.store.nbytes > STORE_BYTES:
             self.store.clear()
         at, size = self.store.find(keys)
         new = np.flatnonzero(at < 0)
@@ -124,6 +138,8 @@ class Encoder:
 
 #: One encoder for each vocabulary and use in this worker.
 _ENCODERS: dict = {}
+#: What else encoders need; it goes with them.
+VOCABULARIES: dict = {}
 
 
 def encoder(key: tuple, make: Callable[[], Encoder]) -> Encoder:
@@ -136,3 +152,4 @@ def encoder(key: tuple, make: Callable[[], Encoder]) -> Encoder:
 def forget() -> None:
     """Frees this worker's encoder, before work that needs none: Spark may give the next encoding to another worker."""
     _ENCODERS.clear()
+    VOCABULARIES.clear()

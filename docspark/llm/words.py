@@ -8,8 +8,10 @@ character, so byte positions are safe to cut at.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +42,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """64-bit hashes of byte ranges and of runs of words, fixed by a seed."""
 
+    #: The last hashers used for byte ranges: only two keep their powers (16 MB each), as a worker serves many steps.
+    held: ClassVar[list[Hasher]] = []
+
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.table = rng.integers(0, 2**64, 256, dtype=np.uint64)
         self.base = np.uint64(int(rng.integers(0, 2**63)) * 2 + 1)
         self.step = np.uint64(int(rng.integers(0, 2**63)) * 2 + 1)
         self.inverse = np.uint64(pow(int(self.base), -1, 2**64))
+        self._shrink()
+
+    def _shrink(self) -> None:
         self.powers = np.ones(1, np.uint64)
         self.inverses = np.ones(1, np.uint64)
 
     def _grow(self, n: int) -> None:
+        if not any(h is self for h in Hasher.held[-1:]):
+            *old, last = [*(h for h in Hasher.held if h is not self), self]
+            for h in old[:-1]:
+                h._shrink()
+            Hasher.held = [*old[-1:], last]
         if len(self.powers) < n:
             n = max(n, SLICE_BYTES + 1)
             for name, x in (("powers", self.base), ("inverses", self.inverse)):
@@ -118,6 +131,14 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
         i = j
 
 
+def give_back() -> None:
+    """Gives the system what this worker has freed so far, in earlier tasks too: the allocators of Arrow and C keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def split(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> Words:
     """The maximal runs of bytes that are not gaps, never across texts."""
     word = np.empty(len(data) + 2, bool)
